@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import packing, token_counts, token_files
+from quaymark.llm import language_id, line_dedup, mixing, packing, quartile_digest, robust_quality, token_counts, token_files
 from quaymark.llm.shared import documents
 
 
@@ -22,9 +22,49 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
 
+def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_quality.rate(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.stripped(documents(spark, sf_dir), site="source", min_sites=10)
+    return out.select("row_.doc_id", "n_lines", "n_removed", "text")
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), b AS (
+  SELECT line, min(doc_id) AS keeper FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  GROUP BY line HAVING count(DISTINCT source) >= 10
+), j AS (
+  SELECT l.doc_id, l.line, l.pos, b.keeper, row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.pos) AS nth
+  FROM l LEFT JOIN b ON l.line = b.line
+), r AS (
+  SELECT doc_id, line, pos, keeper IS NOT NULL AND NOT (keeper = doc_id AND nth = 1) AS gone FROM j
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quartile_digest.fingerprint(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_token_files, op6_robust_quality, op7_line_dedup, op8_language_id, op9_mixing, op10_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}

@@ -11,9 +11,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,15 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def with_fields(batch: pa.RecordBatch, **kinds: pa.DataType) -> pa.RecordBatch:
+    """A batch of packed rows with some of the struct's fields beside it, in these Arrow types."""
+    row = batch.column("row_")
+    return pa.RecordBatch.from_arrays([row, *(row.field(name).cast(kind) for name, kind in kinds.items())], names=["row_", *kinds])
 
 
 def pieces_of(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; a longer text has a slice of its own."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most:
