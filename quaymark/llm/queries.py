@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import jaccard_join, language_id, line_dedup, mixing, packing, quartile_digest, robust_quality, token_counts, token_files
+from quaymark.llm import compact_windows, jaccard_join, language_id, line_dedup, mixing, packing, quartile_digest, robust_quality, token_counts, token_files
 from quaymark.llm.shared import documents
 
 
@@ -26,6 +26,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated(documents(spark, sf_dir))
+
+
 def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.rate(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_token_files, op4_jaccard_join, op6_robust_quality, op7_line_dedup, op8_language_id, op9_mixing, op10_quartile_digest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_token_files, op4_jaccard_join, op5_compact_windows, op6_robust_quality, op7_line_dedup, op8_language_id, op9_mixing, op10_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
