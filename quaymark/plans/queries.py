@@ -1,0 +1,580 @@
+"""The registered queries, with the same in DuckDB SQL.
+
+The driver's tables have no listing, so documents stand in: a source is a container, a document a file with a suffix by its
+number, its text the content. Pages are HTML listings. What the tables do not hold is given inline, on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaymark.functions import scalars, tables
+from quaymark.operators import ai, correlate, detect, exif, filters, misconfig, score
+from quaymark.plans import report
+from quaymark.sources import archives, listings
+
+SUFFIXES = {".env": "Environment", ".json": "JSON", ".py": "Python", ".sql": "SQL / Database Dump", ".yml": "Configuration", ".pem": "Certificate / Key", ".txt": "Other", ".zip": "Archive", ".png": "Image", ".js": "JavaScript"}
+#: The rules that the documents can fire, for queries over whole tables.
+SOME = tuple(r for r in detect.RULES if r.name in ("EMAIL_ADDRESS", "CREDIT_CARD", "INTERNAL_IP"))
+THRESHOLD = 3.0
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    base = F.concat(F.lit("https://"), F.col("source"), F.lit(".s3.us-east-1.amazonaws.com/"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), base.alias("container_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("key"), F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"))
+    return rows.withColumn("url", scalars.key_to_url(F.col("container_id"), F.col("key"))).withColumn("file_type", scalars.file_type(F.col("url")))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select(F.col("url").alias("file_url"), "file_type", "ordinal", "container_id", "content")
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = files(spark, sf_dir).select(F.col("container_id").alias("raw_url")).distinct()
+    return misconfig.detected(urls.withColumns({"status": F.lit(200), "headers": F.create_map(F.lit("Server"), F.lit("AmazonS3")), "body": F.lit("")}))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.scan(contents(spark, sf_dir), THRESHOLD, SOME, context=False)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _bits(x: str) -> str:
+    share = f"((length({x}) - length(replace({x}, c, '')))::DOUBLE / length({x}))"
+    return f"round(coalesce(list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: -{share} * log2({share}))), 0), 6)"
+
+
+def _luhn(x: str) -> str:
+    d = f"CAST(substr({x}, i::INT, 1) AS INT)"
+    return f"list_sum(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN (length({x}) - i) % 2 = 0 THEN {d} WHEN 2 * {d} > 9 THEN 2 * {d} - 9 ELSE 2 * {d} END)) % 10 = 0"
+
+
+def _redacted(x: str) -> str:
+    return f"CASE WHEN length({x}) <= 6 THEN '***' ELSE left({x}, 6) || '***' END"
+
+
+SEPARATORS = r"""\s=:"'',;<>()\[\]{}"""
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+TYPES_SQL = "[" + ", ".join(map(_quoted, SUFFIXES.values())) + "]"
+FILES_SQL = f"""files AS (
+  SELECT doc_id AS ordinal, 'https://' || source || '.s3.us-east-1.amazonaws.com/' AS container_id, n_chars AS size_bytes, text AS content,
+    'd/' || doc_id || ([{', '.join(map(_quoted, SUFFIXES))}])[doc_id % 10 + 1] AS key, {TYPES_SQL}[doc_id % 10 + 1] AS file_type,
+    'https://' || source || '.s3.us-east-1.amazonaws.com/d/' || doc_id || ([{', '.join(map(_quoted, SUFFIXES))}])[doc_id % 10 + 1] AS url
+  FROM documents
+)"""
+LINES_SQL = f"""{FILES_SQL}, lines AS (
+  SELECT ordinal, url, container_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM files
+)"""
+TOKENS_SQL = f"""{LINES_SQL}, tokens AS (
+  SELECT * FROM (SELECT ordinal, url, container_id, line, line_number, unnest(string_split_regex(line, '[{SEPARATORS}]+')) AS token, generate_subscripts(string_split_regex(line, '[{SEPARATORS}]+'), 1) - 1 AS token_number
+    FROM lines WHERE regexp_matches(line, '[^{SEPARATORS}]{{16}}')) WHERE length(token) BETWEEN 16 AND 512
+), good AS (
+  SELECT * FROM tokens WHERE NOT regexp_matches(token, {_quoted(tables.HARMLESS_TOKENS)}) AND len(list_distinct(string_split(token, '')))::DOUBLE / length(token) >= 0.3
+    AND regexp_matches(token, '\\p{{Lu}}')::INT + regexp_matches(token, '\\p{{Ll}}')::INT + regexp_matches(token, '\\p{{Nd}}')::INT + regexp_matches(token, '[^\\p{{L}}\\p{{N}}]')::INT >= 2
+), hits AS (SELECT *, {_bits('token')} AS entropy FROM good)"""
+FINDINGS_SQL = f"""{TOKENS_SQL}, matches AS (
+  SELECT ordinal, url, container_id, line_number, unnest(regexp_extract_all(line, '{EMAIL}')) AS m, generate_subscripts(regexp_extract_all(line, '{EMAIL}'), 1) AS nth, 0 AS rule FROM lines
+  UNION ALL SELECT ordinal, url, container_id, line_number, unnest(regexp_extract_all(line, '[0-9]+')), generate_subscripts(regexp_extract_all(line, '[0-9]+'), 1), 1 FROM lines
+), ruled AS (SELECT * FROM matches WHERE rule = 0 OR (length(m) BETWEEN 13 AND 19 AND {_luhn('m')})),
+alone AS (
+  SELECT h.* FROM hits h LEFT JOIN (SELECT DISTINCT url, line_number FROM ruled) r ON h.url = r.url AND h.line_number = r.line_number
+  WHERE r.url IS NULL AND entropy >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY h.url, h.line_number ORDER BY token_number) = 1
+), findings AS (
+  SELECT ordinal, url, container_id, line_number, rule, nth, {_redacted('m')} AS match, CASE rule WHEN 0 THEN 'EMAIL_ADDRESS' ELSE 'CREDIT_CARD' END AS rule_name, CASE rule WHEN 0 THEN 'Low' ELSE 'Critical' END AS severity,
+    'PII / Personal Data' AS category, CASE rule WHEN 0 THEN 'E-mail address' ELSE 'Credit card number' END AS description, CASE rule WHEN 0 THEN ['SOC2 CC6.7'] ELSE ['PCI-DSS Req 3'] END AS refs FROM ruled
+  UNION ALL SELECT ordinal, url, container_id, line_number, 20, token_number, {_redacted('token')}, 'HIGH_ENTROPY_STRING', 'Low', 'Secret Exposure', 'High-entropy string detected (entropy=' || printf('%.2f', entropy) || ') — possible undiscovered secret', ['NIST IA-5'] FROM alone
+)"""
+WEIGHT_SQL = "CASE severity " + " ".join(f"WHEN '{s}' THEN {v[1]}" for s, v in tables.SEVERITIES.items()) + " END"
+MULT_SQL = "CASE category " + " ".join(f"WHEN {_quoted(c)} THEN {m}" for c, m in tables.CATEGORIES.items()) + " END"
+RANK_SQL = "CASE severity " + " ".join(f"WHEN '{s}' THEN {v[0]}" for s, v in tables.SEVERITIES.items()) + " END"
+RISK_SQL = f"CASE WHEN count(*) = 0 THEN 2.0 ELSE round(least(10 * (1 - exp(-sum(CAST({WEIGHT_SQL} * {MULT_SQL} AS DECIMAL(10,2)))::DOUBLE / 8)), 10.0), 2) END"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else _quoted(v) if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
+
+
+# Scalars
+
+
+@query(f"WITH {TOKENS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, token_number::BIGINT AS token_number, token, {_bits('token')} AS entropy FROM tokens")
+def token_entropy(spark, sf_dir):
+    rows = detect.tokens(contents(spark, sf_dir))
+    return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), F.col("token_number").cast("long").alias("token_number"), "token", F.round(scalars.entropy(F.col("token")), 6).alias("entropy"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT ordinal, {_redacted('token')} AS redacted, substr(sha256(token), 1, 16) AS fingerprint, count(*) AS n FROM tokens GROUP BY ALL")
+def redact_tokens(spark, sf_dir):
+    rows = detect.tokens(contents(spark, sf_dir))
+    return rows.groupBy("ordinal", scalars.redact(F.col("token")).alias("redacted"), scalars.fingerprint(F.col("token")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {FILES_SQL} SELECT key, 'd/' || key AS d, regexp_extract(key, '([^/]*)$', 1) AS name, lower(regexp_extract(key, '(\\.[^./]+)$', 1)) AS extension FROM files")
+def url_filename(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    return rows.select("key", F.concat(F.lit("d/"), F.col("key")).alias("d"), scalars.url_filename(F.concat("url", F.lit("?v=1#x"))).alias("name"), scalars.extension(F.col("key")).alias("extension"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN printf('%.1f B', n_chars * 37.0) WHEN n_chars * 37 < 1048576 THEN printf('%.1f KB', (n_chars * 37 // 1024)::DOUBLE) ELSE printf('%.1f MB', (n_chars * 37 // 1048576)::DOUBLE) END AS size FROM documents")
+def human_size(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.human_size(F.col("n_chars") * 37).alias("size"))
+
+
+@query(f"WITH {FILES_SQL} SELECT ordinal, file_type, file_type NOT IN ('Archive', 'Image', 'Document', 'Binary') AS is_text FROM files")
+def classify_files(spark, sf_dir):
+    return files(spark, sf_dir).select("ordinal", "file_type", scalars.is_text(F.col("file_type")).alias("is_text"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 40) || ' … ' || right(text, 40) END AS short, regexp_replace(left(text, 30), '[^\\p{L}\\p{N}._-]', '_', 'g') AS safe FROM documents")
+def truncated_texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.truncate(F.col("text")).alias("short"), scalars.safe_filename(F.substring("text", 1, 30)).alias("safe"))
+
+
+NAMES = [(".env", "Environment"), ("prod.env", "Environment"), (".env.local", "Other"), ("Dockerfile", "Configuration"), ("a.tar.gz", "Archive"), ("id_rsa", "Certificate / Key"), ("x/y/settings.PY?v=2", "Python"), ("a;b.js", "Other"), ("noext", "Other"), ("b.tfvars#z", "Terraform"), ("https://h/d/.npmrc", "Environment")]
+
+
+@query(f"SELECT * FROM {_values(NAMES, 'name, file_type')}")
+def classify_inline(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n, _ in NAMES], "name string").select("name", scalars.file_type(F.col("name")).alias("file_type"))
+
+
+VERSIONS = [("1.0.2", "1.0.10", -1), ("v2.0", "2.0", 0), ("1.2", "1.2.0", -1), ("2.0rc1", "1.0", -1), ("3", "2.9.9", 1), ("x", "y", 0)]
+
+
+@query(f"SELECT a, b, c::BIGINT AS c FROM {_values(VERSIONS, 'a, b, c')}")
+def version_compare(spark, sf_dir):
+    return spark.createDataFrame([v[:2] for v in VERSIONS], "a string, b string").select("a", "b", scalars.version_compare(F.col("a"), F.col("b")).cast("long").alias("c"))
+
+
+BANDS = [(0, 0, 0, 1.9, "LOW", "green"), (0, 0, 4, 4.0, "MODERATE", "amber"), (0, 1, 0, 6.99, "MODERATE", "amber"), (0, 3, 0, 7.0, "HIGH", "red"), (1, 0, 0, 9.5, "CRITICAL", "red")]
+
+
+@query(f"SELECT c::BIGINT AS c, h::BIGINT AS h, m::BIGINT AS m, s::DOUBLE AS s, rating, band FROM {_values(BANDS, 'c, h, m, s, rating, band')}")
+def ratings(spark, sf_dir):
+    rows = spark.createDataFrame([b[:4] for b in BANDS], "c long, h long, m long, s double")
+    return rows.withColumns({"rating": scalars.exposure_rating(F.col("c"), F.col("h"), F.col("m")), "band": scalars.risk_band(F.col("s"))})
+
+
+@query("SELECT lat_d, lon_d, printf('%.5f, %.5f', lat_d + 51 / 60.0 + 30 / 3600.0, -(lon_d + 17 / 60.0 + 40 / 3600.0)) AS place FROM (SELECT (doc_id % 90)::DOUBLE AS lat_d, (doc_id % 180)::DOUBLE AS lon_d FROM documents)")
+def gps_decimal(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 90).cast("double").alias("lat_d"), (F.col("doc_id") % 180).cast("double").alias("lon_d"))
+    part = lambda d, m, s, ref: F.struct(F.col(d).alias("d"), F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(ref).alias("ref"))
+    return rows.withColumn("gps", F.struct(part("lat_d", 51.0, 30.0, "N").alias("lat"), part("lon_d", 17.0, 40.0, "W").alias("lon"))).select("lat_d", "lon_d", exif.position().alias("place"))
+
+
+# Filters
+
+
+@query(f"WITH {FILES_SQL} SELECT ordinal, key FROM files WHERE NOT regexp_matches(key, '\\.png$') AND size_bytes <= 4000 AND NOT contains(key, '13')")
+def include_filter(spark, sf_dir):
+    return filters.included(files(spark, sf_dir), max_bytes=4000, ignored=(*tables.IGNORED, "13")).select("ordinal", "key")
+
+
+@query(f"WITH {FILES_SQL} SELECT ordinal, CASE WHEN file_type = 'Image' THEN 'image' WHEN file_type = 'Archive' THEN 'archive' WHEN size_bytes > 4000 THEN 'skip_size' ELSE 'text' END AS route FROM files")
+def route_files(spark, sf_dir):
+    return filters.routed(files(spark, sf_dir), max_bytes=4000).select("ordinal", "route")
+
+
+@query(f"WITH {FILES_SQL}, r AS (SELECT container_id, CASE WHEN file_type = 'Image' THEN 'image' WHEN file_type = 'Archive' THEN 'archive' WHEN size_bytes > 4000 THEN 'skip' ELSE 'text' END AS route FROM files) SELECT container_id, count(*) AS total_files, count(*) FILTER (route = 'text') AS scanned_files, count(*) FILTER (route = 'skip') AS skipped_files, count(*) FILTER (route = 'archive') AS archive_files FROM r GROUP BY 1")
+def run_counters(spark, sf_dir):
+    return score.run_counters(filters.routed(files(spark, sf_dir), max_bytes=4000), "container_id")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, token_number::BIGINT AS token_number, token FROM good")
+def entropy_fp_filter(spark, sf_dir):
+    rows = detect.tokens(contents(spark, sf_dir)).where(~scalars.harmless(F.col("token")) & scalars.mixed_characters(F.col("token")))
+    return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), F.col("token_number").cast("long").alias("token_number"), "token")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT url AS file_url, rule_name, match, line_number::BIGINT AS line_number FROM findings WHERE {RANK_SQL} >= 2")
+def min_severity_filter(spark, sf_dir):
+    return filters.at_least(findings(spark, sf_dir), "Medium").select("file_url", "rule_name", "match", F.col("line_number").cast("long").alias("line_number"))
+
+
+# Detectors
+
+
+@query(f"WITH {TOKENS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, token_number::BIGINT AS token_number, token, entropy FROM hits WHERE entropy >= 3.0")
+def entropy_hits(spark, sf_dir):
+    rows = detect.entropy_hits(contents(spark, sf_dir), 3.0)
+    return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), F.col("token_number").cast("long").alias("token_number"), "token", "entropy")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, token, entropy FROM alone")
+def entropy_first_per_line(spark, sf_dir):
+    texts = contents(spark, sf_dir)
+    rows = detect.first_per_line(detect.entropy_hits(texts, THRESHOLD), detect.secrets(texts, SOME))
+    return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), "token", "entropy")
+
+
+@query(f"WITH {TOKENS_SQL}, h AS (SELECT * FROM hits WHERE entropy >= 3.0 QUALIFY row_number() OVER (PARTITION BY url, line_number ORDER BY token_number) = 1) SELECT h.ordinal, h.line_number::BIGINT AS line_number, replace(left((SELECT string_agg(l.line, chr(10) ORDER BY l.line_number) FROM lines l WHERE l.url = h.url AND l.line_number BETWEEN h.line_number - 1 AND h.line_number + 1), 200), h.token, {_redacted('h.token')}) AS context FROM h")
+def line_context(spark, sf_dir):
+    texts = contents(spark, sf_dir)
+    rows = detect.with_context(detect.first_per_line(detect.entropy_hits(texts, 3.0)), texts)
+    return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), "context")
+
+
+@query("SELECT conv_id, turn, left(concat_ws(chr(10), lag(text) OVER w, text, lead(text) OVER w), 200) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def window_context(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_url"), F.col("turn").alias("line_number"), F.col("text").alias("line"))
+    return score.windowed_context(rows).select(F.col("file_url").alias("conv_id"), F.col("line_number").alias("turn"), "context")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, match FROM findings WHERE rule_name = 'EMAIL_ADDRESS'")
+def rule_email(spark, sf_dir):
+    rules = tuple(r for r in detect.RULES if r.name == "EMAIL_ADDRESS")
+    return detect.secrets(contents(spark, sf_dir), rules).select(F.col("seq.file").alias("ordinal"), F.col("line_number").cast("long").alias("line_number"), "match")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, match FROM findings WHERE rule_name = 'CREDIT_CARD'")
+def rule_credit_card(spark, sf_dir):
+    rules = tuple(r for r in detect.RULES if r.name == "CREDIT_CARD")
+    return detect.secrets(contents(spark, sf_dir), rules).select(F.col("seq.file").alias("ordinal"), F.col("line_number").cast("long").alias("line_number"), "match")
+
+
+IP = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
+
+
+@query(f"WITH {LINES_SQL} SELECT ordinal, line_number::BIGINT AS line_number, ip, regexp_matches(ip, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS internal FROM (SELECT *, unnest(regexp_extract_all(line, '{IP}', 1)) AS ip FROM lines)")
+def rule_ipv4_any(spark, sf_dir):
+    lines = detect.numbered_lines(contents(spark, sf_dir), F.col("line").rlike(IP))
+    rows = lines.select("ordinal", F.col("line_number").cast("long").alias("line_number"), F.explode(F.regexp_extract_all("line", F.lit(IP), F.lit(1))).alias("ip"))
+    return rows.withColumn("internal", F.col("ip").rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"))
+
+
+def _mixed(n: int, seed: int, alphabet: str) -> str:
+    """n characters without a meaning; the alphabet is walked with a stride, so most of it occurs."""
+    return "".join(alphabet[(seed + 7 * i + i * i) % len(alphabet)] for i in range(n))
+
+
+UPPER, WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: Lines that fire each rule, made from parts so that none of them is a credential's literal.
+SAMPLES = [
+    "id = AKI" + "A" + _mixed(16, 1, UPPER), "aws_secret_access_key = " + _mixed(40, 2, WIDE), "aws_session_token = " + _mixed(120, 3, WIDE), "k: AIz" + "a" + _mixed(35, 4, WIDE), '{"private_' + 'key": "' + _mixed(64, 5, WIDE) + '"}', "t ya29" + "." + _mixed(60, 6, WIDE),
+    "Account" + "Key=" + _mixed(64, 7, WIDE) + "==;", "https://h/c?sv=1&si" + "g=" + _mixed(40, 8, WIDE), "-----BEGIN RSA PRIV" + "ATE KEY-----", "jwt ey" + "J" + _mixed(20, 9, WIDE) + "." + _mixed(30, 10, WIDE) + "." + _mixed(30, 11, WIDE), "gh" + "p_" + _mixed(36, 12, WIDE), "glp" + "at-" + _mixed(32, 13, WIDE),
+    "postgresql" + "://user:" + _mixed(12, 14, WIDE) + "@db/prod", "pass" + "word = '" + _mixed(18, 15, WIDE) + "'", "SECRET" + "_KEY=" + _mixed(30, 16, WIDE), "api" + "_key: " + _mixed(40, 17, WIDE), "host 192.168.1.17 and 10.0.0.1, not 8.8.8.8", "  IdentityFile ~/.ssh/x", "Host bastion", "mail bob@example.org, eve@x.co", "card 4111111111111111 not 4111111111111112",
+    "pass" + "word = changeme123", "nothing here", "password = short",
+]
+INLINE = [(i, s) for i, s in enumerate(SAMPLES)]
+
+
+def _rule_sql(rule: detect.Rule) -> str:
+    order = list(tables.SEVERITIES)
+    higher = order[max(0, order.index(rule.severity) - 1)]
+    tests = [f"contains(lower(line), {_quoted(rule.near)})"] if rule.near else []
+    hints = [f"contains({'lower(line)' if rule.fold else 'line'}, {_quoted(h)})" for h in rule.hints]
+    tests += ["(" + " OR ".join(hints) + ")"] if hints else []
+    tests += [f"{_bits('m')} >= {rule.least_entropy}"] if rule.least_entropy is not None else []
+    tests += [f"length(m) BETWEEN 13 AND 19 AND {_luhn('m')}"] if rule.validator == "card" else [f"NOT regexp_matches(m, {_quoted(detect.PLACEHOLDER)})"] if rule.validator else []
+    severity = _quoted(rule.severity) if rule.least_entropy is None else f"CASE WHEN {_bits('m')} >= {rule.least_entropy + detect.ESCALATION} THEN '{higher}' ELSE '{rule.severity}' END"
+    return f"SELECT id, '{rule.name}' AS rule_name, {severity} AS severity, {_redacted('m')} AS match FROM (SELECT id, line, unnest(regexp_extract_all(line, {_quoted(rule.pattern)}, 1)) AS m FROM inline) WHERE {' AND '.join(tests) or 'true'}"
+
+
+@query(f"WITH inline AS (SELECT id::BIGINT AS id, line FROM {_values(INLINE, 'id, line')}) " + " UNION ALL ".join(_rule_sql(r) for r in detect.RULES))
+def rule_all_inline(spark, sf_dir):
+    rows = spark.createDataFrame([(i, str(i), "Other", s) for i, s in INLINE], "ordinal long, file_url string, file_type string, content string")
+    return detect.secrets(rows).select(F.col("seq.file").alias("id"), "rule_name", "severity", "match")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT d.lang, f.rule_name, count(*) AS n FROM findings f JOIN documents d ON d.doc_id = f.ordinal GROUP BY 1, 2")
+def rule_hits_by_lang(spark, sf_dir):
+    lang = _table(spark, sf_dir, "documents").select(F.col("doc_id"), "lang")
+    return findings(spark, sf_dir).select(F.col("seq.file").alias("doc_id"), "rule_name").join(lang, "doc_id").groupBy("lang", "rule_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{EMAIL}')) AS m FROM conversations) SELECT conv_id, turn, {_redacted('m')} AS match FROM l")
+def conversation_emails(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file_url"), F.lit("Other").alias("file_type"), F.col("conv_id").alias("ordinal"), "turn", F.col("text").alias("content"))
+    found = detect.secrets(rows, tuple(r for r in detect.RULES if r.name == "EMAIL_ADDRESS"))
+    return found.select(F.col("seq.file").alias("conv_id"), F.substring_index("file_url", "/", -1).cast("long").alias("turn"), "match")
+
+
+# Misconfiguration
+
+
+@query("SELECT DISTINCT 'https://' || source || '.s3.us-east-1.amazonaws.com/' AS file_url, source AS file_name, 'PUBLIC_BUCKET_ACCESS' AS rule_name, 'Critical' AS severity, '[AWS S3]' AS match FROM documents")
+def public_bucket(spark, sf_dir):
+    return misconfig.public_containers(containers(spark, sf_dir)).select("file_url", "file_name", "rule_name", "severity", "match")
+
+
+PATTERNS_SQL = _values([(i, p, misconfig.rule_of(p), label, s) for i, (p, label, s) in enumerate(tables.SENSITIVE_NAMES)], "i, pattern, rule_name, label, severity")
+
+
+@query(f"WITH {FILES_SQL} SELECT container_id, rule_name, severity, label || ' (' || arg_min(key, ordinal) || ') is publicly accessible in cloud storage.' AS description FROM files JOIN {PATTERNS_SQL} ON regexp_matches(lower(key), pattern) GROUP BY container_id, i, rule_name, label, severity")
+def sensitive_inventory(spark, sf_dir):
+    rows = misconfig.sensitive_findings(containers(spark, sf_dir), files(spark, sf_dir))
+    return rows.select(F.col("file_url").alias("container_id"), "rule_name", "severity", "description")
+
+
+HOSTS = [
+    ("https://b.s3.us-east-1.amazonaws.com/", 200, None, "", "AWS S3", "b", "us-east-1"), ("https://b.s3.amazonaws.com/", 200, None, "", "AWS S3", "b", ""), ("https://s3-eu-west-1.amazonaws.com/", 206, None, "", "AWS S3", "", "eu-west-1"),
+    ("https://x.cloudfront.net/a", 200, None, "", "CloudFront (CDN)", "", ""), ("https://bkt.storage.googleapis.com/", 200, None, "<ListBucketResult><Name>n</Name></ListBucketResult>", "Google Cloud Storage", "bkt", ""), ("https://acct.blob.core.windows.net/c", 200, None, "", "Azure Blob Storage", "acct", ""),
+    ("https://h.example/", 200, "x-amz-request-id", "", "AWS S3", "", ""), ("https://h.example/l", 200, None, '<?xml version="1.0"?><ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><Name>b1</Name></ListBucketResult>', "AWS S3", "b1", ""),
+    ("https://h.example/az", 200, None, '<EnumerationResults ServiceEndpoint="https://a.blob.core.windows.net/cont/"><Blobs/></EnumerationResults>', "Azure Blob Storage", "cont", ""), ("https://h.example/i", 200, None, "<html><title>Index of /</title></html>", "Open Directory Listing", "", ""), ("https://h.example/w", 200, None, '<p><a href="x">x</a>', "Generic Web File Listing", "", ""), ("https://h.example/u", 404, None, "none", "Unknown", "", ""),
+]
+
+
+@query(f"SELECT raw_url, container_type, container_name, region, status = 200 AS is_public FROM {_values([(u, s, t, n, r) for u, s, _, _, t, n, r in HOSTS], 'raw_url, status, container_type, container_name, region')}")
+def container_detect(spark, sf_dir):
+    rows = spark.createDataFrame([(u, s, {h.upper(): "1"} if h else {}, b) for u, s, h, b, *_ in HOSTS], "raw_url string, status int, headers map<string,string>, body string")
+    return misconfig.detected(rows).select("raw_url", "container_type", "container_name", "region", "is_public")
+
+
+# Correlation
+
+
+DUPLICATES_SQL = """SELECT arg_min(url, (ordinal, line_number, rule, nth)) AS file_url, 'DUPLICATE_SECRET:' || arg_min(rule_name, (ordinal, line_number, rule, nth)) AS rule_name,
+  'The same secret value (' || arg_min(rule_name, (ordinal, line_number, rule, nth)) || ') was found in ' || count(DISTINCT url) || ' different files: '
+  || array_to_string(list_sort(list_distinct(list(regexp_extract(url, '([^/]*)$', 1))))[1:5], ', ') || CASE WHEN count(DISTINCT url) > 5 THEN '...' ELSE '' END AS description
+FROM findings GROUP BY substr(sha256(match), 1, 16) HAVING """
+
+
+@query(f"WITH {FINDINGS_SQL} {DUPLICATES_SQL} count(*) >= 2")
+def duplicate_secrets(spark, sf_dir):
+    return correlate.duplicates(findings(spark, sf_dir)).select("file_url", "rule_name", "description")
+
+
+@query(f"WITH {FINDINGS_SQL} {DUPLICATES_SQL} count(DISTINCT url) >= 2")
+def duplicate_secrets_strict(spark, sf_dir):
+    return correlate.duplicates(findings(spark, sf_dir), strict=True).select("file_url", "rule_name", "description")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT min(url) AS file_url, 'CREDENTIAL_REUSE:' || rule_name AS rule_name, '[' || count(DISTINCT url) || ' files affected]' AS match FROM findings GROUP BY findings.rule_name HAVING count(DISTINCT url) >= 3")
+def credential_reuse(spark, sf_dir):
+    return correlate.reuse(findings(spark, sf_dir)).select("file_url", "rule_name", "match")
+
+
+@query(f"""WITH {FINDINGS_SQL}, s AS (
+  SELECT container_id, list_sort(list_distinct(coalesce(list(description) FILTER (rule_name IN ('EMAIL_ADDRESS', 'CREDIT_CARD')), []))) AS pii, arg_max(severity, {RANK_SQL}) AS highest_severity FROM findings GROUP BY 1
+), g AS (SELECT container_id, string_agg(framework, ',' ORDER BY first_at) AS gaps FROM (SELECT container_id, split_part(refs[1], ' ', 1) AS framework, min((ordinal, line_number, rule, nth)) AS first_at FROM findings GROUP BY 1, 2) GROUP BY 1)
+SELECT s.container_id, array_to_string(pii, ',') AS pii, highest_severity, 1.5 * len(pii) AS total_exposure_score, gaps, CASE WHEN len(pii) > 0 THEN 'PII: ' || array_to_string(pii, ', ') ELSE 'No significant exposure surface' END AS summary FROM s JOIN g USING (container_id)""")
+def exposure_surface(spark, sf_dir):
+    rows = correlate.exposure_surface(findings(spark, sf_dir), "container_id")
+    return rows.select("container_id", F.array_join("pii_categories", ",").alias("pii"), "highest_severity", "total_exposure_score", F.array_join("compliance_gaps", ",").alias("gaps"), "summary")
+
+
+# Scores
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT count(*) AS findings, {RISK_SQL} AS risk_score FROM findings")
+def risk_score(spark, sf_dir):
+    return score.risk(findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT container_id, count(*) AS findings, {RISK_SQL} AS risk_score, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Low') AS low FROM findings GROUP BY 1")
+def risk_by_source(spark, sf_dir):
+    found = findings(spark, sf_dir)
+    counts = score.severity_counts(found, "container_id").select("container_id", "critical", "low")
+    return score.risk(found, "container_id").join(counts, "container_id")
+
+
+SCORED = [(1, "Critical", "Secret Exposure", "AWS_ACCESS_KEY", 8.5), *[(2, "High", "Credential File Exposed", "X", 9.29)] * 5, *[(2, "Medium", "Public Access Misconfiguration", "Y", 9.29)] * 10, (3, "Critical", "Public Access Misconfiguration", "PUBLIC_BUCKET_ACCESS", 3.62), (4, "Critical", "Secret Exposure", "DUPLICATE_SECRET:AWS_ACCESS_KEY", 5.28)]
+
+
+@query(f"SELECT DISTINCT id::BIGINT AS id, score::DOUBLE AS risk_score FROM {_values([(a, e) for a, _, _, _, e in SCORED], 'id, score')}")
+def risk_inline(spark, sf_dir):
+    rows = spark.createDataFrame([s[:4] for s in SCORED], "id long, severity string, category string, rule_name string")
+    return score.risk(rows, "id").select("id", "risk_score")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT s.severity, s.position::BIGINT AS position, count(f.url) AS n FROM {_values([(s, 4 - v[0]) for s, v in tables.SEVERITIES.items()], 'severity, position').replace(' AS t(', ' AS s(')} LEFT JOIN findings f ON f.severity = s.severity GROUP BY 1, 2")
+def severity_counts(spark, sf_dir):
+    return score.severity_table(findings(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT category, count(*) AS n FROM findings GROUP BY 1 ORDER BY n DESC, min((ordinal, line_number, rule, nth)) LIMIT 3")
+def category_top3(spark, sf_dir):
+    return score.top_categories(findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ref, array_to_string(list_sort(list_distinct(list(rule_name)))[1:3], ', ') AS rules FROM (SELECT unnest(refs) AS ref, rule_name FROM findings) GROUP BY 1")
+def compliance_map(spark, sf_dir):
+    return score.compliance_map(findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT array_to_string(list_sort(list_distinct(list(rule_name) FILTER (severity = 'Critical')))[1:4], ', ') AS rules FROM findings")
+def critical_rules(spark, sf_dir):
+    return score.critical_rules(findings(spark, sf_dir)).select(F.array_join("rules", ", ").alias("rules"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT CASE WHEN bool_or(severity IN ('Critical', 'High')) THEN 2 ELSE 0 END::BIGINT AS exit_code FROM findings")
+def exit_flag(spark, sf_dir):
+    return score.exit_code(findings(spark, sf_dir)).select(F.col("exit_code").cast("long").alias("exit_code"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT url AS file_url, rule_name, severity, match, line_number::BIGINT AS line_number, row_number() OVER (ORDER BY {RANK_SQL} DESC, ordinal, line_number, rule, nth, rule_name) AS position FROM findings")
+def sorted_findings(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = score.ordered(findings(spark, sf_dir))
+    w = Window.orderBy(F.desc(tables.rank(F.col("severity"))), "seq", "rule_name")
+    return rows.select("file_url", "rule_name", "severity", "match", F.col("line_number").cast("long").alias("line_number"), F.row_number().over(w).cast("long").alias("position"))
+
+
+KEYWORD_SQL = " + ".join(f"(length(low) - length(replace(low, '{k}', ''))) // {len(k)}" for k in tables.KEYWORDS)
+COARSE = r"""\s=:"'',"""
+
+
+@query(f"""WITH {FINDINGS_SQL}, t AS (
+  SELECT url, lower(content) AS low, length(content) AS n, greatest(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')), 1) AS words, len(string_split(content, chr(10))) AS n_lines,
+    len(list_filter(string_split(content, chr(10)), lambda x: len(list_filter(string_split_regex(x, '[{COARSE}]+'), lambda y: length(y) > 15 AND {_bits('y')} > 4.5)) > 0)) AS loud FROM files
+), c AS (SELECT url, count(*) FILTER (severity = 'Critical') AS crit, count(*) FILTER (severity = 'High') AS high FROM findings GROUP BY 1),
+x AS (SELECT t.url, loud / n_lines AS ratio, ({KEYWORD_SQL}) / words AS density, coalesce(crit, 0) AS crit, coalesce(high, 0) AS high, n FROM t LEFT JOIN c USING (url))
+SELECT url AS file_url, round(least(CASE WHEN ratio > 0.3 THEN 3.0 WHEN ratio > 0.1 THEN 1.5 ELSE 0 END + crit * 1.5 + high * 0.8 + CASE WHEN density > 0.05 THEN 2.0 WHEN density > 0.02 THEN 0.8 ELSE 0 END
+  + CASE WHEN regexp_matches(url, '(\\.env|\\.pem|\\.key)$') AND n < 2000 THEN 1.0 ELSE 0 END, 10.0)::DOUBLE, 2) AS anomaly_score FROM x""")
+def anomaly_score(spark, sf_dir):
+    return score.anomaly(contents(spark, sf_dir), findings(spark, sf_dir)).select("file_url", "anomaly_score")
+
+
+# Listings
+
+
+@query(r"""WITH h AS (SELECT page_id, url AS base, list_distinct(list_transform(regexp_extract_all(html, '(?i)<a[^>]+href=["''][^"''?#][^"'']*["'']'), lambda x: trim(regexp_extract(x, '(?i)href=["'']([^"''?#][^"'']*)["'']', 1)))) AS links FROM pages)
+SELECT page_id, regexp_extract(base, '^(https?://[^/]*)', 1) || href AS url, ltrim(href, '/') AS key, ends_with(href, '/') AS is_directory FROM (SELECT page_id, base, unnest(links) AS href FROM h) WHERE starts_with(href, '/')""")
+def html_links(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base_url"), "html")
+    links = listings.links(pages.select("base_url", "html"))
+    return pages.select("page_id", "base_url").join(links, "base_url").select("page_id", "url", "key", "is_directory")
+
+
+S3_BODY = '<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><Name>b1</Name><IsTruncated>true</IsTruncated><NextContinuationToken>tok</NextContinuationToken><Contents><Key>app/.env</Key><Size>120</Size><LastModified>2024-01-01T00:00:00Z</LastModified><ETag>"abc"</ETag></Contents><Contents><Key>app/</Key><Size>0</Size></Contents><Contents><Key>x.js</Key><Size>n/a</Size></Contents><CommonPrefixes><Prefix>logs/</Prefix></CommonPrefixes></ListBucketResult>'
+AZURE_BODY = '<EnumerationResults ServiceEndpoint="https://acct.blob.core.windows.net/cont/"><Blobs><Blob><Name>k.sql</Name><Properties><Content-Length>5</Content-Length><Last-Modified>x</Last-Modified></Properties></Blob></Blobs><NextMarker>m2</NextMarker></EnumerationResults>'
+
+
+@query(f"SELECT url, key, size_bytes::BIGINT AS size_bytes, etag, file_type FROM {_values([('https://b/app/.env', 'app/.env', 120, 'abc', 'Environment'), ('https://b/x.js', 'x.js', 0, '', 'JavaScript')], 'url, key, size_bytes, etag, file_type')}")
+def s3_listing(spark, sf_dir):
+    rows = spark.createDataFrame([("https://b/", S3_BODY), ("https://c/", "<ListBucketResult><Contents><Key>broken")], "base_url string, body string")
+    return listings.s3_files(rows).select("url", "key", "size_bytes", "etag", "file_type")
+
+
+@query("SELECT true AS truncated, 'tok' AS token, 'logs/' AS prefixes")
+def s3_page(spark, sf_dir):
+    rows = spark.createDataFrame([("https://b/", S3_BODY)], "base_url string, body string")
+    return listings.s3_pages(rows).select("truncated", "token", F.array_join("prefixes", ",").alias("prefixes"))
+
+
+@query(f"SELECT url, size_bytes::BIGINT AS size_bytes, file_type, container_name, token FROM {_values([('https://a/cont/k.sql', 5, 'SQL / Database Dump', 'cont', 'm2')], 'url, size_bytes, file_type, container_name, token')}")
+def azure_listing(spark, sf_dir):
+    rows = spark.createDataFrame([("https://a/cont", AZURE_BODY)], "base_url string, body string")
+    return listings.azure_files(rows).join(listings.azure_pages(rows), "base_url").select("url", "size_bytes", "file_type", "container_name", "token")
+
+
+EDGES = [("r", "a"), ("r", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "y")]
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_values(EDGES, 'src, dst')}), w AS (SELECT 'r' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN e ON url = src WHERE depth < 3) SELECT url, min(depth)::BIGINT AS depth FROM w GROUP BY 1")
+def crawl_depth(spark, sf_dir):
+    edges, roots = spark.createDataFrame(EDGES, "src string, dst string"), spark.createDataFrame([("r",)], "url string")
+    return listings.crawl(edges, roots, 3).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+@query()
+def archive_members(spark, sf_dir):
+    """The documents of each source, zipped and unpacked again: every member comes back."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def zipped(frames):
+        for frame in frames:
+            out = []
+            for key, text in zip(frame["key"], frame["content"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"in/{key.rpartition('/')[2]}.txt", text or "")
+                    z.writestr("../up.txt", "no")
+                out.append((f"https://h/{key}.zip", held.getvalue()))
+            yield pd.DataFrame(out, columns=["file_url", "content"])
+
+    objects = files(spark, sf_dir).select("key", "content").mapInPandas(zipped, "file_url string, content binary")
+    return archives.texts(archives.unpacked(objects)).select("file_url", "file_type", "archive_path", F.sha2("content", 256).alias("sha256"))
+
+
+# Semantic analysis
+
+
+@query(r"SELECT doc_id, left(regexp_replace(regexp_replace(text, '\b([A-Za-z0-9+/]{8})[A-Za-z0-9+/]{32,}={0,2}\b', '\1***', 'g'), '(-----BEGIN[^-]+-----)[^-]+(-----END[^-]+-----)', '\1 [REDACTED] \2', 'g'), 5000) AS sanitised FROM documents")
+def ai_sanitise(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.sanitised(F.col("text")).alias("sanitised"))
+
+
+FENCE = "`" * 3
+REPLIES = [("u/1", '{"findings":[{"type":"api key","severity":"HIGH","confidence":1.0,"line_hint":"k=…"}]}'), ("u/2", FENCE + 'json\n{"findings":[{"severity":"odd"}]}\n' + FENCE), ("u/3", "no json"), ("u/4", '{"findings":[]}')]
+
+
+@query("SELECT * FROM " + _values([("u/1", "AI_API_KEY", "High", 0.9, "k=…", "AI:p/m"), ("u/2", "AI_DETECTION", "Medium", 0.54, "[AI detected — no explicit match]", "AI:p/m")], "file_url, rule_name, severity, confidence, match, scanner"))
+def ai_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(u, "Other", t, "p", "m") for u, t in REPLIES], "file_url string, file_type string, reply string, ai_provider string, ai_model string")
+    return ai.parsed(rows).select("file_url", "rule_name", "severity", F.round("confidence", 2).alias("confidence"), "match", "scanner")
+
+
+SQL["ai_parse"] = SQL["ai_parse"].replace("SELECT * FROM", "SELECT file_url, rule_name, severity, confidence::DOUBLE AS confidence, match, scanner FROM")
+
+
+@query(f"WITH {FILES_SQL} SELECT ordinal, file_type IN ('Certificate / Key', 'Environment') OR regexp_matches(url, {_quoted(tables.HIGH_VALUE)}) AS high_value FROM files")
+def high_value_files(spark, sf_dir):
+    return files(spark, sf_dir).select("ordinal", ai.high_value(F.col("url"), F.col("file_type")).alias("high_value"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal FROM files WHERE file_type IN ('Certificate / Key', 'Environment') OR (regexp_matches(url, {_quoted(tables.HIGH_VALUE)}) AND url IN (SELECT url FROM findings))")
+def ai_gate(spark, sf_dir):
+    return ai.worth_asking(contents(spark, sf_dir), findings(spark, sf_dir)).select("ordinal")
+
+
+TAGS = [("https://h/a.jpg", {"Make": "Cam", "Artist": "Eve", "Software": ""}, True), ("https://h/b.jpg", {"Model": "M" * 50}, False), ("https://h/c.jpg", {}, False)]
+
+
+@query("SELECT * FROM " + _values([("https://h/a.jpg", "IMAGE_GPS_COORDINATES", "Medium", "48.85833, -2.29444"), ("https://h/a.jpg", "IMAGE_DEVICE_INFO", "Low", "Make=Cam"), ("https://h/a.jpg", "IMAGE_AUTHOR_INFO", "Low", "Artist=***"), ("https://h/b.jpg", "IMAGE_DEVICE_INFO", "Low", "Model=" + "M" * 40)], "file_url, rule_name, severity, match"))
+def exif_findings(spark, sf_dir):
+    place = ((48.0, 51.0, 30.0, "N"), (2.0, 17.0, 40.0, "W"))
+    rows = spark.createDataFrame([(u, t, place if g else None) for u, t, g in TAGS], exif.TAGS)
+    return exif.findings(rows).select("file_url", "rule_name", "severity", "match")
+
+
+# Reports
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal, rule_name, replace('#### `' || regexp_extract(url, '([^/]*)$', 1) || '` — ' || rule_name, chr(10), '') AS title FROM findings")
+def report_markdown_lines(spark, sf_dir):
+    rows = report.markdown_lines(findings(spark, sf_dir))
+    return rows.select(F.col("seq.file").alias("ordinal"), "rule_name", F.substring_index("block", "\n", 1).alias("title"))
+
+
+@query()
+def report_json(spark, sf_dir):
+    return report.json_report(findings(spark, sf_dir)).select(F.col("seq.file").alias("ordinal"), "json")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """The batch form of the streaming counts."""
+    rows = _table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("window.start").alias("start"), "event_type", "n")
