@@ -270,8 +270,8 @@ def rule_ipv4_any(spark, sf_dir):
 
 
 def _mixed(n: int, seed: int, alphabet: str) -> str:
-    """n characters without a meaning; the alphabet is walked with a stride, so most of it occurs."""
-    return "".join(alphabet[(seed + 7 * i + i * i) % len(alphabet)] for i in range(n))
+    """n characters without a meaning; the alphabet is walked with a stride, so all of it occurs in time."""
+    return "".join(alphabet[(seed + 37 * i) % len(alphabet)] for i in range(n))
 
 
 UPPER, WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
