@@ -96,7 +96,7 @@ def parsed(replies: DataFrame) -> DataFrame:
     severity = tables.lookup(order, F.lower(F.coalesce("f.severity", F.lit("medium"))), "Medium")
     rule = F.concat(F.lit("AI_"), F.replace(F.upper(F.coalesce("f.type", F.lit("DETECTION"))), F.lit(" "), F.lit("_")))
     return schema.finding(
-        items.drop("reply", "r_"), file_name=scalars.url_filename(F.col("file_url")), category=F.lit(tables.SECRET), rule_name=rule, description=F.concat(F.lit("[AI] "), F.coalesce("f.description", F.lit("AI-detected security issue"))), severity=severity,
-        match=F.coalesce("f.line_hint", F.lit("[AI detected — no explicit match]")), recommendation=F.coalesce("f.recommendation", F.lit("Review file content and remediate as appropriate.")),
+        items.drop("reply", "r_"), file_name=scalars.url_filename(F.col("file_url")), category=F.lit(tables.SECRET), rule_name=rule, description=F.concat(F.lit("[AI] "), F.coalesce("f.description", tables.text("ai"))), severity=severity,
+        match=F.coalesce("f.line_hint", tables.text("ai_match")), recommendation=F.coalesce("f.recommendation", tables.text("ai_advice")),
         confidence=F.least(F.coalesce("f.confidence", F.lit(0.6)) * 0.9, F.lit(0.95)), scanner=F.concat(F.lit("AI:"), F.col("ai_provider"), F.lit("/"), F.col("ai_model")), seq=schema.sequence(F.lit(0), F.lit(0), F.lit(0), F.col("nth_")),
     )

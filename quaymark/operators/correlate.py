@@ -16,10 +16,10 @@ def duplicates(findings: DataFrame, strict: bool = False) -> DataFrame:
     )
     rule = F.col("first_.rule_name")
     n = F.col("files_").cast("string")
-    text = F.concat(F.lit("The same secret value ("), rule, F.lit(") was found in "), n, F.lit(" different files: "), F.array_join("names_", ", "), F.when(F.col("files_") > 5, "...").otherwise(""))
+    text = tables.text("duplicate", rule, n, F.array_join("names_", ", "), F.when(F.col("files_") > 5, "...").otherwise(""))
     return schema.finding(
-        grouped.where(F.col("files_" if strict else "n_") >= 2), file_url=F.col("first_.file_url"), file_name=F.lit("[Multiple Files]"), file_type=F.lit(tables.OTHER), category=F.lit(tables.SECRET), rule_name=F.concat(F.lit("DUPLICATE_SECRET:"), rule),
-        description=text, severity=F.lit("Critical"), match=F.concat(F.lit("[redacted — duplicated across "), n, F.lit(" files]")), recommendation=F.lit("One secret in several places points to shared or copied credentials. Give each service its own and rotate those affected."),
+        grouped.where(F.col("files_" if strict else "n_") >= 2), file_url=F.col("first_.file_url"), file_name=tables.text("many_files"), file_type=F.lit(tables.OTHER), category=F.lit(tables.SECRET), rule_name=F.concat(F.lit("DUPLICATE_SECRET:"), rule),
+        description=text, severity=F.lit("Critical"), match=tables.text("duplicate_match", n), recommendation=F.lit("One secret in several places points to shared or copied credentials. Give each service its own and rotate those affected."),
         compliance_refs=F.array(F.lit("NIST IA-5"), F.lit("SOC2 CC6.7")), confidence=F.lit(0.99), scanner=F.lit("SecretDeduplicator"), seq=F.col("first_.seq"),
     )
 
@@ -29,9 +29,9 @@ def reuse(findings: DataFrame, min_files: int = 3) -> DataFrame:
     grouped = findings.groupBy("rule_name").agg(F.count_distinct("file_url").alias("files_"), F.min("file_url").alias("first_"), F.min("seq").alias("seq"))
     n = F.col("files_").cast("string")
     return schema.finding(
-        grouped.where(F.col("files_") >= min_files), file_url=F.col("first_"), file_name=F.lit("[Multiple Files]"), file_type=F.lit(tables.OTHER), category=F.lit(tables.SECRET),
-        description=F.concat(F.lit("Credential type '"), F.col("rule_name"), F.lit("' detected across "), n, F.lit(" files, suggesting widespread credential sharing or insecure deployment patterns.")),
-        rule_name=F.concat(F.lit("CREDENTIAL_REUSE:"), F.col("rule_name")), severity=F.lit("High"), match=F.concat(F.lit("["), n, F.lit(" files affected]")), recommendation=F.lit("Use scoped credentials per service, or roles in their place, and rotate those affected."),
+        grouped.where(F.col("files_") >= min_files), file_url=F.col("first_"), file_name=tables.text("many_files"), file_type=F.lit(tables.OTHER), category=F.lit(tables.SECRET),
+        description=tables.text("reuse", F.col("rule_name"), n),
+        rule_name=F.concat(F.lit("CREDENTIAL_REUSE:"), F.col("rule_name")), severity=F.lit("High"), match=tables.text("reuse_match", n), recommendation=F.lit("Use scoped credentials per service, or roles in their place, and rotate those affected."),
         compliance_refs=F.array(F.lit("NIST IA-5"), F.lit("CIS 2.1")), confidence=F.lit(0.85), scanner=F.lit("SecretDeduplicator"),
     )
 
@@ -46,7 +46,7 @@ def exposure_surface(findings: DataFrame, *keys: str) -> DataFrame:
     )
     part = lambda name, label: F.when(F.size(name) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(name, 1, {"credential_types": 5, "infra_details": 3}.get(name, 1 << 30)), ", ")))
     summary = F.concat_ws(" | ", part("credential_types", "Credentials"), part("pii_categories", "PII"), part("infra_details", "Infrastructure"))
-    scored = grouped.withColumn("total_exposure_score", 2.0 * F.size("credential_types") + 1.5 * F.size("pii_categories") + 0.5 * F.size("infra_details")).withColumn("summary", F.when(summary == "", "No significant exposure surface").otherwise(summary))
+    scored = grouped.withColumn("total_exposure_score", 2.0 * F.size("credential_types") + 1.5 * F.size("pii_categories") + 0.5 * F.size("infra_details")).withColumn("summary", F.when(summary == "", tables.TEXTS["no_surface"]).otherwise(summary))
     gaps = findings.select(*keys, "seq", F.posexplode("compliance_refs").alias("pos_", "ref_")).groupBy(*keys, scalars.framework(F.col("ref_")).alias("framework_")).agg(F.min(F.struct("seq", "pos_")).alias("at_"))
     ordered = gaps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "framework_"))), lambda x: x["framework_"]).alias("compliance_gaps"))
     joined = scored.join(ordered, list(keys), "left") if keys else scored.crossJoin(ordered)  # one row each without keys

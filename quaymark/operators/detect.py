@@ -175,8 +175,8 @@ def entropy_findings(contents: DataFrame, threshold: float = 4.5, flagged: DataF
     hits = with_context(hits, contents) if context else hits
     return schema.finding(
         hits, file_name=scalars.url_filename(F.col("file_url")), category=F.lit(tables.SECRET), rule_name=F.lit("HIGH_ENTROPY_STRING"),
-        description=F.format_string("High-entropy string detected (entropy=%.2f) — possible undiscovered secret", F.col("entropy")), severity=F.lit("Low"), match=scalars.redact(F.col("token")),
-        recommendation=F.lit("Review this string — high entropy may indicate an undocumented credential or key."), compliance_refs=F.array(F.lit("NIST IA-5")), confidence=F.lit(0.55), scanner=F.lit("EntropyHunter"),
+        description=tables.text("entropy", F.format_string("%.2f", F.col("entropy"))), severity=F.lit("Low"), match=scalars.redact(F.col("token")),
+        recommendation=tables.text("entropy_advice"), compliance_refs=F.array(F.lit("NIST IA-5")), confidence=F.lit(0.55), scanner=F.lit("EntropyHunter"),
         seq=schema.sequence(F.col("ordinal"), F.col("line_number"), F.lit(len(RULES)), F.col("token_number")),
     )
 

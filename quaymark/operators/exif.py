@@ -28,7 +28,7 @@ def findings(images: DataFrame) -> DataFrame:
     rows = images.withColumn("device_", device).withColumn("person_", person)
     ordinal = F.col("ordinal") if "ordinal" in images.columns else F.lit(0)
     seq = lambda k: schema.sequence(ordinal, F.lit(0), F.lit(k), F.lit(0))
-    gps = schema.finding(rows.where("gps IS NOT NULL"), category=F.lit(tables.METADATA), rule_name=F.lit("IMAGE_GPS_COORDINATES"), description=F.lit("Image contains embedded GPS coordinates"), severity=F.lit("Medium"), match=F.coalesce(position(), F.lit("GPS data present")), recommendation=strip, compliance_refs=F.array(F.lit("SOC2 CC6.7")), confidence=F.lit(0.95), seq=seq(0), **common)
-    devices = schema.finding(rows.where("device_ <> ''"), category=F.lit(tables.METADATA), rule_name=F.lit("IMAGE_DEVICE_INFO"), description=F.lit("Image reveals device/software information"), severity=F.lit("Low"), match=F.col("device_"), recommendation=strip, confidence=F.lit(0.9), seq=seq(1), **common)
-    persons = schema.finding(rows.where("person_ <> ''"), category=F.lit(tables.PII), rule_name=F.lit("IMAGE_AUTHOR_INFO"), description=F.lit("Image contains author/owner information in metadata"), severity=F.lit("Low"), match=F.col("person_"), recommendation=strip, compliance_refs=F.array(F.lit("SOC2 CC6.7")), confidence=F.lit(0.85), seq=seq(2), **common)
+    gps = schema.finding(rows.where("gps IS NOT NULL"), category=F.lit(tables.METADATA), rule_name=F.lit("IMAGE_GPS_COORDINATES"), description=tables.text("gps"), severity=F.lit("Medium"), match=F.coalesce(position(), tables.text("gps_match")), recommendation=strip, compliance_refs=F.array(F.lit("SOC2 CC6.7")), confidence=F.lit(0.95), seq=seq(0), **common)
+    devices = schema.finding(rows.where("device_ <> ''"), category=F.lit(tables.METADATA), rule_name=F.lit("IMAGE_DEVICE_INFO"), description=tables.text("device"), severity=F.lit("Low"), match=F.col("device_"), recommendation=strip, confidence=F.lit(0.9), seq=seq(1), **common)
+    persons = schema.finding(rows.where("person_ <> ''"), category=F.lit(tables.PII), rule_name=F.lit("IMAGE_AUTHOR_INFO"), description=tables.text("person"), severity=F.lit("Low"), match=F.col("person_"), recommendation=strip, compliance_refs=F.array(F.lit("SOC2 CC6.7")), confidence=F.lit(0.85), seq=seq(2), **common)
     return gps.unionByName(devices).unionByName(persons)

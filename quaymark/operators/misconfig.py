@@ -51,7 +51,7 @@ def detected(responses: DataFrame) -> DataFrame:
     name = F.when(in_azure, F.coalesce(element("ContainerName"), host_name, endpoint)).when(in_s3, F.coalesce(host_name, element("Name"))).otherwise(host_name)
     region = F.coalesce(F.try_element_at("headers", F.lit("x-amz-bucket-region")), F.when(in_s3, element("BucketRegion")), _some(F.regexp_extract("host_", S3_HOST, 2)))
     public = F.col("status") == 200
-    note = F.lit("S3 Block Public Access is NOT enabled — bucket listing is publicly accessible.")
+    note = tables.text("public_s3")
     return rows.select(
         "raw_url", kind.alias("container_type"), F.coalesce(name, F.lit("")).alias("container_name"), F.coalesce(region, F.lit("")).alias("region"), public.alias("is_public"), F.coalesce(F.try_element_at("headers", F.lit("server")), F.lit("")).alias("server_header"),
         F.map_filter("headers", lambda k, _: k.isin(*tables.KEPT_HEADERS)).alias("extra_headers"), F.when(public & (kind == S3), F.array(note)).otherwise(F.array().cast("array<string>")).alias("notes"),
@@ -67,7 +67,7 @@ def _of_container(df: DataFrame, **columns: Column) -> DataFrame:
 
 def public_containers(containers: DataFrame) -> DataFrame:
     """A Critical finding per public container."""
-    text = F.concat(F.lit("The "), F.col("container_type"), F.lit(" container is publicly accessible without authentication. Any file listed can be downloaded by an unauthenticated user on the internet."))
+    text = tables.text("public", F.col("container_type"))
     refs = F.array(*[F.lit(r) for r in ("CIS 2.1", "NIST SC-7", "SOC2 CC6.1", "PCI-DSS Req 1.3")])
     return _of_container(containers.where("is_public"), rule_name=F.lit("PUBLIC_BUCKET_ACCESS"), description=text, severity=F.lit("Critical"), recommendation=F.lit("Block public access, and review the policy and access lists of the container."), compliance_refs=refs, seq=schema.sequence(F.lit(-1), F.lit(0), F.lit(0), F.lit(0)))
 
@@ -94,7 +94,7 @@ def sensitive_files(files: DataFrame, *keys: str) -> DataFrame:
 def sensitive_findings(containers: DataFrame, files: DataFrame) -> DataFrame:
     """Findings of sensitive files, per container; files and containers meet by container_id = raw_url."""
     found = sensitive_files(files, "container_id").join(containers, F.col("container_id") == F.col("raw_url"))
-    text = F.concat(F.col("label"), F.lit(" ("), F.col("key"), F.lit(") is publicly accessible in cloud storage."))
+    text = tables.text("sensitive", F.col("label"), F.col("key"))
     advice = F.concat(F.lit("Remove "), F.col("key"), F.lit(" from cloud storage and rotate any credentials in it."))
     refs = F.array(*[F.lit(r) for r in ("NIST IA-5", "CIS 2.1.5", "SOC2 CC6.7")])
     return _of_container(found, rule_name=F.col("rule_name"), description=text, severity=F.col("severity"), recommendation=advice, compliance_refs=refs, seq=schema.sequence(F.lit(-1), F.col("ordinal"), F.col("pattern_number"), F.lit(1)))

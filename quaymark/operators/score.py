@@ -102,7 +102,7 @@ def anomaly(contents: DataFrame, findings: DataFrame | None = None, ai: DataFram
         " | ", F.when(F.col("ratio_") > 0.3, F.concat(F.lit("High entropy string density: "), percent)).when(F.col("ratio_") > 0.1, F.concat(F.lit("Elevated entropy strings: "), percent)),
         F.when(F.col("critical_") > 0, F.concat(F.col("critical_").cast("string"), F.lit(" critical-severity pattern matches"))), F.when(F.col("density_") > 0.05, F.concat(F.lit("High sensitive keyword density ("), F.col("hits_").cast("string"), F.lit(" hits)"))),
     )
-    out = rows.select("file_url", F.least(points, F.lit(10.0)).alias("own_"), F.when(reasons == "", "No significant anomalies detected").otherwise(reasons).alias("why_"))
+    out = rows.select("file_url", F.least(points, F.lit(10.0)).alias("own_"), F.when(reasons == "", tables.TEXTS["no_anomaly"]).otherwise(reasons).alias("why_"))
     if ai is None:
         return out.select("file_url", F.round("own_", 2).alias("anomaly_score"), F.col("why_").alias("explanation"))
     joined = out.join(ai, "file_url", "left")
