@@ -35,6 +35,7 @@ from quaymark.llm.shared import pieces_of, written
 
 SHINGLE, WORDS, NEAR, BANDS = 5, 50, 0.8, 2
 SPAN = WORDS - SHINGLE + 1
+PLACE_BITS = 26
 #: Rows sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -59,8 +60,9 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple
     n = len(values)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    place = np.uint64(max(1, int(n - 1).bit_length()))
-    order = (values >> place << place) | np.arange(n, dtype=np.uint64)  # the leading bits, then the place
+    # The leading bits, then the place. As many bits in every call (unless one text has 67 million words), so equal passages have equal minima.
+    place = np.uint64(max(PLACE_BITS, int(n - 1).bit_length()))
+    order = (values >> place << place) | np.arange(n, dtype=np.uint64)
     low = least_in_windows(order, width)
     inside = np.ones(len(low), dtype=bool)
     doc = K.per_text(bounds)

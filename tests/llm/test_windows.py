@@ -23,7 +23,7 @@ def test_compact_windows(width):
 
     def divide(a, b):
         if b - a >= width:
-            c = a + int(np.argmin(values[a:b] >> np.uint64(8)))
+            c = a + int(np.argmin(values[a:b] >> np.uint64(C.PLACE_BITS)))
             want.add((a, c, b - 1))
             divide(a, c)
             divide(c + 1, b)
