@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quaymark.llm import bpe
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import packed, pieces_of, with_fields
+from quaymark.llm.shared import packed, packed_schema, pieces_of, with_fields
 
 DIMENSIONS, SEED, CLASSES = 1024, 20, 64
 UNDETERMINED = "und"
@@ -161,7 +161,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 names, score = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row_"), pa.array(names, pa.string()), pa.array(score)], names=["row_", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"row_ {rows.schema['row_'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(run, packed_schema(rows, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:

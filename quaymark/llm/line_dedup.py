@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import packed, pieces_of, with_fields, written
+from quaymark.llm.shared import packed, packed_schema, pieces_of, with_fields, written
 
 #: HyperLogLog sketches have 2**LG_K registers; standard errors that the exact count reaches to.
 LG_K, SPREAD = 12, 5.0
@@ -117,7 +117,7 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
     found = boilerplate(docs, site, min_sites)
     rows = packed(docs)
     fields = {"doc_id": pa.int64(), "text": pa.string()}
-    kind = f"row_ {rows.schema['row_'].dataType.simpleString()}, text string, n_lines long, n_removed long"
+    kind = packed_schema(rows, "text string, n_lines long, n_removed long")
 
     def result(part: pa.RecordBatch, line: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray) -> pa.RecordBatch:
         texts, n, removed = _strip(part, line, doc_id, text_hash)
@@ -151,7 +151,7 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
     # A document's boilerplate lines, found by joins, meet it again by its text's hash.
     has = rows.select(F.col("row_.text").cast("string").alias("text")).mapInArrow(lines_of, "own_ long, line long").distinct().join(found, "line")
     mine = has.groupBy("own_").agg(F.array_sort(F.collect_list(F.struct("line", "doc_id", "text_hash"))).alias("mine_"))
-    whole = rows.mapInArrow(keyed, f"row_ {rows.schema['row_'].dataType.simpleString()}, own_ long").join(mine, "own_", "left")
+    whole = rows.mapInArrow(keyed, packed_schema(rows, "own_ long")).join(mine, "own_", "left")
 
     def by_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one kernel call works on; numpy temporaries are about 60 times as large.
 CHUNK_BYTES = 1 << 20
@@ -65,6 +66,11 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
 
 
+def packed_schema(rows: DataFrame, others: str) -> StructType:
+    """The schema of packed rows with other columns behind them, for any names and types of the rows' own columns."""
+    return StructType([rows.schema["row_"], *StructType.fromDDL(others).fields])
+
+
 def with_fields(batch: pa.RecordBatch, **kinds: pa.DataType) -> pa.RecordBatch:
     """A batch of packed rows with some of the struct's fields beside it, in these Arrow types."""
     row = batch.column("row_")

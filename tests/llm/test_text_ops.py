@@ -31,7 +31,7 @@ def docs(spark):
     r = random.Random(2)
     rows = [(i, t, r.choice(["en", "fr", None]), r.choice(["s1", "s2", "s3", None]), "x", 1.5) for i, t in enumerate(texts())]
     rows += [rows[20], rows[20], (None, "no id here", None, None, None, None), (None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, line string, hash double").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, line string, `odd name.x` double").repartition(3)
 
 
 def none_of(docs):
