@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from quaymark.functions import scalars, tables
 
 
-def risk(findings: DataFrame, *keys: str) -> DataFrame:
-    """keys, findings, risk_score: one aggregation. Weights are summed as decimals, so their order does not matter. Without keys there is one row always, without findings as of a public container."""
+def risk(findings: DataFrame, *keys: str, count: tuple[str, ...] = ()) -> DataFrame:
+    """keys, findings, risk_score, and a number for each severity in ``count``: one aggregation.
+
+    Weights are summed as decimals, so their order does not matter. Without keys there is one row always, without findings as of a public container.
+    """
     points = (tables.weight(F.col("severity")) * tables.multiplier(F.col("category"))).cast("decimal(10,2)")
     floor = (F.col("severity") == "Critical") & F.col("rule_name").isin(*tables.FLOOR_RULES)
-    sums = findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("findings"), F.sum(points).cast("double").alias("raw_"), F.coalesce(F.bool_or(floor), F.lit(False)).alias("floor_"))
-    return sums.select(*keys, "findings", score(F.col("raw_"), F.col("floor_"), F.col("findings")).alias("risk_score"))
+    counts = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in count]
+    sums = findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("findings"), F.sum(points).cast("double").alias("raw_"), F.coalesce(F.bool_or(floor), F.lit(False)).alias("floor_"), *counts)
+    return sums.select(*keys, "findings", score(F.col("raw_"), F.col("floor_"), F.col("findings")).alias("risk_score"), *[s.lower() for s in count])
 
 
 def score(raw: Column, floor: Column, n: Column, public: Column | None = None) -> Column:

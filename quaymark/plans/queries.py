@@ -390,9 +390,7 @@ def risk_score(spark, sf_dir):
 
 @query(f"WITH {FINDINGS_SQL} SELECT container_id, count(*) AS findings, {RISK_SQL} AS risk_score, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Low') AS low FROM findings GROUP BY 1")
 def risk_by_source(spark, sf_dir):
-    found = findings(spark, sf_dir)
-    counts = score.severity_counts(found, "container_id").select("container_id", "critical", "low")
-    return score.risk(found, "container_id").join(counts, "container_id")
+    return score.risk(findings(spark, sf_dir), "container_id", count=("Critical", "Low"))
 
 
 SCORED = [(1, "Critical", "Secret Exposure", "AWS_ACCESS_KEY", 8.5), *[(2, "High", "Credential File Exposed", "X", 9.29)] * 5, *[(2, "Medium", "Public Access Misconfiguration", "Y", 9.29)] * 10, (3, "Critical", "Public Access Misconfiguration", "PUBLIC_BUCKET_ACCESS", 3.62), (4, "Critical", "Secret Exposure", "DUPLICATE_SECRET:AWS_ACCESS_KEY", 5.28)]

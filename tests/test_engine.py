@@ -81,6 +81,17 @@ def test_flagged_lines_are_left_out(spark):
     assert detect.entropy_findings(rows).count() == 1
 
 
+def test_scan_equals_its_parts(spark):
+    """The narrow plan against rules, anti-join, first hit and context as separate operators."""
+    texts = queries.contents(spark, "/root/testdata/sf0.01").limit(400)
+    noisy = texts.withColumn("content", F.when(F.col("ordinal") % 3 == 0, F.concat("content", F.lit("\nkey " + queries._mixed(30, 5, queries.WIDE) + " b " + queries._mixed(40, 6, queries.WIDE)))).when(F.col("ordinal") % 7 == 0, None).otherwise(F.col("content"))).cache()
+    rules = detect.secrets(noisy)
+    want = rules.unionByName(detect.entropy_findings(noisy, 3.0, rules))
+    f = lambda df: sorted((str(r) for r in df.select(*sorted(df.columns)).collect()))
+    got = f(detect.scan(noisy, 3.0))
+    assert got == f(want) and len(got) > 100
+
+
 def test_correlation_without_findings(spark):
     none = queries.findings(spark, "/root/testdata/sf0.001").limit(0)
     assert correlate.duplicates(none).count() == correlate.reuse(none).count() == 0
