@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark import schema
@@ -11,9 +11,11 @@ from quaymark.functions import scalars, tables
 
 def duplicates(findings: DataFrame, strict: bool = False) -> DataFrame:
     """One Critical finding per match that occurs twice or more; ``strict`` asks for two different files. Groups are of the match's fingerprint, so no value is kept."""
-    grouped = findings.withColumn("hash_", scalars.fingerprint(F.col("match"))).groupBy("hash_").agg(
-        F.count(F.lit(1)).alias("n_"), F.min(F.struct("seq", "file_url", "rule_name")).alias("first_"), F.count_distinct("file_url").alias("files_"), F.slice(F.array_sort(F.collect_set(scalars.url_filename(F.col("file_url")))), 1, 5).alias("names_"),
-    )
+    keyed = findings.withColumn("hash_", scalars.fingerprint(F.col("match")))
+    counted = keyed.groupBy("hash_").agg(F.count(F.lit(1)).alias("n_"), F.min(F.struct("seq", "file_url", "rule_name")).alias("first_"), F.count_distinct("file_url").alias("files_"))
+    # Five names of each group: a limit per group is taken before the shuffle too, so a match that is everywhere is not gathered.
+    names = keyed.select("hash_", scalars.url_filename(F.col("file_url")).alias("name_")).distinct().withColumn("nth_", F.row_number().over(Window.partitionBy("hash_").orderBy("name_"))).where("nth_ <= 5")
+    grouped = counted.join(names.groupBy("hash_").agg(F.array_sort(F.collect_list("name_")).alias("names_")), "hash_")
     rule = F.col("first_.rule_name")
     n = F.col("files_").cast("string")
     text = tables.text("duplicate", rule, n, F.array_join("names_", ", "), F.when(F.col("files_") > 5, "...").otherwise(""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaymark.functions import tables
 from quaymark.operators import ai, correlate, detect, exif, filters, misconfig, score
 from quaymark.sources import archives, images, listings
+from quaymark.sources.kept import checkpointed
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,7 @@ def scan(config: Config, containers: DataFrame, files: DataFrame, objects: DataF
     # A member is known by its path; order and container are its archive's.
     members = archives.texts(unpacked).withColumn("archive_url", F.substring_index("file_url", "!/", 1)).join(names.select(F.col("file_url").alias("archive_url"), "ordinal", "container_id"), "archive_url").drop("archive_url")
     found = found.unionByName(detect.secrets(members))
+    found = checkpointed(found)  # correlation and scores read it several times
     all_found = misconfig.public_containers(containers).unionByName(misconfig.sensitive_findings(containers, kept)).unionByName(found)
     if config.deep_metadata:
         tags = images.read(of("image").select("file_url", "content")).join(names.select("file_url", "ordinal", "container_id"), "file_url")

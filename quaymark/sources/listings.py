@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import scalars, tables
+from quaymark.sources.kept import checkpointed
 
 S3_LISTING = "Name string, IsTruncated string, NextContinuationToken string, NextMarker string, Contents array<struct<Key:string,Size:string,LastModified:string,ETag:string>>, CommonPrefixes array<struct<Prefix:string>>"
 AZURE_LISTING = "_ServiceEndpoint string, ContainerName string, NextMarker string, Blobs struct<Blob:array<struct<Name:string,Properties:struct<`Content-Length`:string,`Last-Modified`:string>>>>"
@@ -88,17 +89,11 @@ def crawl(edges: DataFrame, roots: DataFrame, max_depth: int = 15) -> DataFrame:
 
     A frontier per level, less what was visited; each level is one join and one anti-join and is checkpointed.
     """
-    spark: SparkSession = edges.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaymark-"))
-    steps = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
+    steps = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
     seen = frontier = roots.select("url").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         reached = steps.join(frontier, F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
-        frontier = reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
