@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import pieces_of, written
+from quaymark.llm.shared import lean, pieces_of, written
 
 SHINGLE, WORDS, NEAR, BANDS = 5, 50, 0.8, 2
 SPAN = WORDS - SHINGLE + 1
@@ -214,7 +214,7 @@ _SPANS = "id long, spans array<struct<start: int, stop: int, passage: long, exac
 def merged(found: DataFrame) -> DataFrame:
     """id, spans from rows id, start, passage, exact; a text has at most as many rows as words."""
     rows = found.groupBy("id", "start").agg(F.min("passage").alias("passage"), F.bool_or("exact").alias("exact"))
-    return rows.groupBy("id").agg(F.collect_list(F.struct("start", "passage", "exact")).alias("found")).mapInArrow(_spans, _SPANS)
+    return rows.groupBy("id").agg(F.collect_list(F.struct("start", "passage", "exact")).alias("found")).mapInArrow(lean(_spans), _SPANS)
 
 
 def _sent(df: DataFrame, weight: Column) -> DataFrame:
@@ -225,20 +225,20 @@ def _sent(df: DataFrame, weight: Column) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, passage, exact: the spans of each document that other documents have too."""
     texts = _texts(docs)
-    slim = written(texts.mapInArrow(_each(_counted), "doc_id long, id long, n_words long"), "texts")
+    slim = written(texts.mapInArrow(lean(_each(_counted)), "doc_id long, id long, n_words long"), "texts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("first")
     groups = slim.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), first)
 
-    keys = texts.mapInArrow(_each(_keys), "key long, id long")
+    keys = texts.mapInArrow(lean(_each(_keys)), "key long, id long")
     shared = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most"), "shared")
-    all_cells = texts.mapInArrow(_each(_whole_cells), "key long, id long, doc_id long, lo int, hi int, c int")
+    all_cells = texts.mapInArrow(lean(_each(_whole_cells)), "key long, id long, doc_id long, lo int, hi int, c int")
     # Copies of a text give its cells again; one of each is enough.
     candidates = written(all_cells.join(shared, "key").groupBy("key", "id", "lo", "hi", "c").agg(F.max("least").alias("least"), F.max("most").alias("most")), "cells")
 
     by_text = written(candidates.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cells")).join(groups.select(F.col("id"), F.col("first.doc_id").alias("first_id")), "id"), "wanted")
     chosen = texts.join(_sent(by_text.withColumnRenamed("id", "id_"), F.size("cells")), (F.col("id") == F.col("id_")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("id", "text", "cells")
     held = written(chosen, "passages")
-    passages = held.mapInArrow(_each(_passages), "passage long, id long, start int")
+    passages = held.mapInArrow(lean(_each(_passages)), "passage long, id long, start int")
     twice = written(passages.groupBy("passage").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("passage"), "twice")
     exact = written(merged(passages.join(twice, "passage", "left_semi").withColumn("exact", F.lit(True))), "spans")
 
@@ -265,7 +265,7 @@ def near_passages(candidates: DataFrame, exact: DataFrame, held: DataFrame) -> D
     fit = lambda c, lo, hi: F.greatest(F.least(F.col(c) - off, F.col(hi)), F.col(lo)).cast("int")
     asked = written(both.select("key", "id", fit("c", "lo", "hi").alias("start"), "other", fit("t.c", "t.lo", "t.hi").alias("there")), "asked")
     wanted = asked.select("id", "start").union(asked.select(F.col("other"), F.col("there"))).distinct().groupBy("id").agg(F.collect_list("start").alias("starts"))
-    sets = written(held.select("id", "text").join(wanted, "id").mapInArrow(_each(_sets), "id long, start int, grams array<long>"), "sets")
+    sets = written(held.select("id", "text").join(wanted, "id").mapInArrow(lean(_each(_sets)), "id long, start int, grams array<long>"), "sets")
     pairs = asked.join(sets, ["id", "start"]).join(sets.select(F.col("id").alias("other"), F.col("start").alias("there"), F.col("grams").alias("grams_")), ["other", "there"])
     common = F.size(F.array_intersect("grams", "grams_"))
     alike = pairs.where(common >= NEAR * (F.size("grams") + F.size("grams_") - common)).select("key", "id", "start", "other", "there")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
 from quaymark.llm.components import connected
-from quaymark.llm.shared import packed, pieces_of, written
+from quaymark.llm.shared import lean, packed, pieces_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -118,7 +118,7 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), node, pa.array(size), sketch], names=["doc_id", "text_key", "node", "n_set", "sketch"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return held.mapInArrow(run, "doc_id long, text_key long, node binary, n_set long, sketch binary")
+    return held.mapInArrow(lean(run), "doc_id long, text_key long, node binary, n_set long, sketch binary")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def bands(reps: DataFrame) -> DataFrame:
                         key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + held[:, :, r])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(len(held)), BANDS)))], names=["key", "node"])
 
-    return reps.select("node", "sketch").mapInArrow(run, "key long, node binary")
+    return reps.select("node", "sketch").mapInArrow(lean(run), "key long, node binary")
 
 
 def unpruned(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
@@ -235,7 +235,7 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
             yield pa.concat_tables(held).combine_chunks()
 
     dealt = small.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a binary, b binary").unionByName(large.where(F.col("a") != F.col("b"))).distinct()
+    return dealt.mapInArrow(lean(run), "a binary, b binary").unionByName(large.where(F.col("a") != F.col("b"))).distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -254,7 +254,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(sets))])], names=["node", "shingles"])
 
     # Repeated rows give a node twice.
-    return rows.mapInArrow(run, "node binary, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    return rows.mapInArrow(lean(run), "node binary, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
 def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -312,7 +312,7 @@ def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFram
             yield pa.RecordBatch.from_arrays([t.column("node"), pa.array(links.astype(np.int64)), t.column("node").take(pa.array(label))], names=["node", "links", "least"])
 
     keys = ["component", "left", "right"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node binary, links long, least binary")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "node binary, links long, least binary")
 
 
 def linked(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:

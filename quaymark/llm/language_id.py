@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quaymark.llm import bpe
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import packed, packed_schema, pieces_of, with_fields
+from quaymark.llm.shared import lean, packed, packed_schema, pieces_of, with_fields
 
 DIMENSIONS, SEED, CLASSES = 1024, 20, 64
 UNDETERMINED = "und"
@@ -104,7 +104,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
 
     held = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    table = held.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = held.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(set(table["lang"]), key=lambda s: s.encode())
     base = base_vectors(dimensions)
     out = np.zeros((len(names), dimensions))
@@ -161,7 +161,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 names, score = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row_"), pa.array(names, pa.string()), pa.array(score)], names=["row_", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, packed_schema(rows, "lang_pred string, score double"))
+    return rows.mapInArrow(lean(run), packed_schema(rows, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:

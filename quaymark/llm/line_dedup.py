@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import packed, packed_schema, pieces_of, with_fields, written
+from quaymark.llm.shared import lean, packed, packed_schema, pieces_of, with_fields, written
 
 #: HyperLogLog sketches have 2**LG_K registers; standard errors that the exact count reaches to.
 LG_K, SPREAD = 12, 5.0
@@ -67,7 +67,7 @@ def occurrences(docs: DataFrame, site: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([sites, pa.array(line[first]), pa.array(key[first]), pa.array(own[first])], names=["site", "line", "doc_id", "text_hash"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site"))
-    return held.mapInArrow(run, "site string, line long, doc_id long, text_hash long")
+    return held.mapInArrow(lean(run), "site string, line long, doc_id long, text_hash long")
 
 
 def boilerplate(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
@@ -132,7 +132,7 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
                 for part in pieces_of(with_fields(batch, **fields)):
                     yield result(part, *held)
 
-        return rows.mapInArrow(by_all, kind)
+        return rows.mapInArrow(lean(by_all), kind)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +149,9 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(text_hashes(data, offsets)[doc]), pa.array(line[~blank])], names=["own_", "line"])
 
     # A document's boilerplate lines, found by joins, meet it again by its text's hash.
-    has = rows.select(F.col("row_.text").cast("string").alias("text")).mapInArrow(lines_of, "own_ long, line long").distinct().join(found, "line")
+    has = rows.select(F.col("row_.text").cast("string").alias("text")).mapInArrow(lean(lines_of), "own_ long, line long").distinct().join(found, "line")
     mine = has.groupBy("own_").agg(F.array_sort(F.collect_list(F.struct("line", "doc_id", "text_hash"))).alias("mine_"))
-    whole = rows.mapInArrow(keyed, packed_schema(rows, "own_ long")).join(mine, "own_", "left")
+    whole = rows.mapInArrow(lean(keyed), packed_schema(rows, "own_ long")).join(mine, "own_", "left")
 
     def by_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +159,7 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
                 mine = batch.column("mine_")[i].as_py() or []
                 yield result(with_fields(batch.slice(i, 1), **fields), *(np.array([m[c] for m in mine], dtype=np.int64) for c in ("line", "doc_id", "text_hash")))
 
-    return whole.mapInArrow(by_own, kind)
+    return whole.mapInArrow(lean(by_own), kind)
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm import bpe
-from quaymark.llm.shared import pieces_of, written
+from quaymark.llm.shared import lean, pieces_of, written
 
 #: Smallest parts of combinations of three lengths are multiples of this; it bounds their number to about window**2 / (6 * GRID).
 GRID = 8
@@ -164,7 +164,7 @@ def cut(docs: DataFrame, window: int, vocabulary: str | None = None) -> DataFram
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, grid: int = GRID, steps: int = STEPS) -> DataFrame:
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, gri
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq), pa.array(off)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _running():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import pieces_of, written
+from quaymark.llm.shared import lean, pieces_of, written
 from quaymark.llm.token_files import in_order
 
 BUCKETS = 128
@@ -151,7 +151,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
     spark: SparkSession = docs.sparkSession
-    walked = written(in_order(docs).mapInArrow(_walk, f"kind int, task long, {RESULT}, text string"), "digests")
+    walked = written(in_order(docs).mapInArrow(lean(_walk), f"kind int, task long, {RESULT}, text string"), "digests")
     edges = walked.where("kind > 0").select("kind", "task", "doc_id", "text")
     tasks = sorted(r["task"] for r in edges.where("kind = 1").select("task").collect())  # one number per task
     following = spark.createDataFrame([(t, tasks[(i + 1) % len(tasks)]) for i, t in enumerate(tasks)], "task long, next_task long")
@@ -165,4 +165,4 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 texts = pa.concat_arrays([pc.fill_null(one.column("text"), ""), pc.fill_null(one.column("next_text"), "")])
                 yield pa.RecordBatch.from_arrays(_pairs(one.column("doc_id"), texts), names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return walked.where("kind = 0").select(*[c.split()[0] for c in RESULT.split(", ")]).unionByName(lasts.mapInArrow(close, RESULT))
+    return walked.where("kind = 0").select(*[c.split()[0] for c in RESULT.split(", ")]).unionByName(lasts.mapInArrow(lean(close), RESULT))

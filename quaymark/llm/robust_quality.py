@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import pieces_of, written
+from quaymark.llm.shared import lean, pieces_of, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED = 8, 20, 30
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return held.mapInArrow(run, STATS).withColumn("base_failed", failed)
+    return held.mapInArrow(lean(run), STATS).withColumn("base_failed", failed)
 
 
 def vector() -> list[Column]:
@@ -145,7 +145,7 @@ def _estimates(sums: DataFrame, scale: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(mean[:, i]) for i in range(P)), *(pa.array(inverse[:, i, j]) for i, j in pairs)], names=["key", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in pairs)])
 
     kind = ", ".join(["key string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in pairs)])
-    return written(sums.select("key", "n", *(f"s{i}" for i in range(P)), *(f"x{i}{j}" for i, j in pairs)).mapInArrow(run, kind), "estimates")
+    return written(sums.select("key", "n", *(f"s{i}" for i in range(P)), *(f"x{i}{j}" for i, j in pairs)).mapInArrow(lean(run), kind), "estimates")
 
 
 def distance() -> Column:

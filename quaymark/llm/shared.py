@@ -8,10 +8,12 @@ runs again replaces its own files only.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one kernel call works on; numpy temporaries are about 60 times as large.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session names no other bound: texts are long, and both sides hold a batch or two.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +76,31 @@ def packed_schema(rows: DataFrame, others: str) -> StructType:
     return StructType([rows.schema["row_"], *StructType.fromDDL(others).fields])
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, with bounded batches, and a worker that gives freed memory back to the system after each task."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark._jsparkSession.conf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Returns what numpy and Arrow have freed; an idle worker otherwise keeps the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+
 def with_fields(batch: pa.RecordBatch, **kinds: pa.DataType) -> pa.RecordBatch:
     """A batch of packed rows with some of the struct's fields beside it, in these Arrow types."""
     row = batch.column("row_")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.llm import bpe, files
-from quaymark.llm.shared import fresh, pieces_of, written
+from quaymark.llm.shared import fresh, lean, pieces_of, written
 
 #: The vocabulary's own end-of-document id: no text encodes to it, as special strings in texts are ordinary there.
 END = 50256
@@ -48,7 +48,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None, end:
         ids = pa.concat_arrays([pa.array([], pa.int64()), *held])
         yield pa.RecordBatch.from_arrays([pa.array([uri] * len(ids), pa.string()), pa.array(np.arange(len(ids))), ids], names=["file", "nth", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "file string, nth long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "file string, nth long, doc_id long")
 
 
 def blocks_of(spark: SparkSession, uris: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -61,7 +61,7 @@ def blocks_of(spark: SparkSession, uris: DataFrame, width: int, block: int = BLO
                 first = np.arange(0, n, block)
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(first), pa.string()), pa.array(np.arange(len(first))), pa.array(first), pa.array(np.minimum(block, n - first))], names=["file", "block", "first", "n_ids"])
 
-    return uris.select("file").mapInArrow(run, "file string, block long, first long, n_ids long")
+    return uris.select("file").mapInArrow(lean(run), "file string, block long, first long, n_ids long")
 
 
 def search(blocks: DataFrame, end: int, dtype: str) -> DataFrame:
@@ -74,7 +74,7 @@ def search(blocks: DataFrame, end: int, dtype: str) -> DataFrame:
                 found = first + np.flatnonzero(np.frombuffer(files.read_range(uri, first * width, n * width), dtype) == end)
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([k]), pa.array([first + n]), pa.array([found.tolist()], pa.list_(pa.int64()))], names=["file", "block", "stop", "places"])
 
-    return blocks.mapInArrow(run, "file string, block long, stop long, places array<long>")
+    return blocks.mapInArrow(lean(run), "file string, block long, stop long, places array<long>")
 
 
 def count_tokens(spark: SparkSession, uris: DataFrame, end: int = END, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:

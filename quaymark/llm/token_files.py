@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import bpe, files, simple8b
-from quaymark.llm.shared import fresh, pieces_of
+from quaymark.llm.shared import fresh, lean, pieces_of
 
 MAGIC = b"QMS8"
 _HEAD, _TAIL = struct.Struct("<4sI"), struct.Struct("<QQQ4s")
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
         n = files.write_whole(uri, parts())
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([task]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64()), pa.array([n], pa.int64())], names=["file", "task", "n_docs", "n_ids", "n_bytes"])
 
-    return sorted(in_order(docs).mapInArrow(run, MANIFEST).where("n_docs > 0").collect(), key=lambda r: r["task"])
+    return sorted(in_order(docs).mapInArrow(lean(run), MANIFEST).where("n_docs > 0").collect(), key=lambda r: r["task"])
 
 
 def read_tokens(spark: SparkSession, manifest: list) -> DataFrame:
@@ -146,7 +146,7 @@ def read_tokens(spark: SparkSession, manifest: list) -> DataFrame:
 
     held = spark.createDataFrame(rows, "file string, base long, nth long")
     # A file is a task's work; the rows are dealt by their number, so tasks get as many each.
-    return held.repartitionByRange(len(rows), "nth").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return held.repartitionByRange(len(rows), "nth").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents_of(uri: str, base: int) -> Iterator[pa.RecordBatch]:
