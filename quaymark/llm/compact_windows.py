@@ -161,7 +161,7 @@ def _whole_cells(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     key, lo, hi, c = (np.concatenate([f[i] for f in found]) for i in range(4))
     doc = K.per_text(bounds)[lo]
     base = bounds[doc]
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(doc)), part.column("doc_id").take(pa.array(doc)), *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, c))], names=["key", "id", "doc_id", "lo", "hi", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(doc)), *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, c))], names=["key", "id", "lo", "hi", "c"])
 
 
 def _passages(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -229,14 +229,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("first")
     groups = slim.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), first)
 
+    # From here on one document stands for all with its text.
+    many = written(groups.where("copies > 1").select(F.col("id").alias("id_"), F.col("first.doc_id").alias("first_id"), F.lit(True).alias("many")), "copies")
+    texts = texts.join(_sent(many, F.lit(1)), F.col("id") == F.col("id_"), "left").where(F.col("many").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "id")
+
     keys = texts.mapInArrow(lean(_each(_keys)), "key long, id long")
     shared = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most"), "shared")
-    all_cells = texts.mapInArrow(lean(_each(_whole_cells)), "key long, id long, doc_id long, lo int, hi int, c int")
-    # Copies of a text give its cells again; one of each is enough.
-    candidates = written(all_cells.join(shared, "key").groupBy("key", "id", "lo", "hi", "c").agg(F.max("least").alias("least"), F.max("most").alias("most")), "cells")
+    all_cells = texts.mapInArrow(lean(_each(_whole_cells)), "key long, id long, lo int, hi int, c int")
+    candidates = written(all_cells.join(shared, "key"), "cells")
 
-    by_text = written(candidates.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cells")).join(groups.select(F.col("id"), F.col("first.doc_id").alias("first_id")), "id"), "wanted")
-    chosen = texts.join(_sent(by_text.withColumnRenamed("id", "id_"), F.size("cells")), (F.col("id") == F.col("id_")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("id", "text", "cells")
+    by_text = written(candidates.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("cells")), "wanted")
+    chosen = texts.join(_sent(by_text.withColumnRenamed("id", "id_"), F.size("cells")), F.col("id") == F.col("id_")).select("id", "text", "cells")
     held = written(chosen, "passages")
     passages = held.mapInArrow(lean(_each(_passages)), "passage long, id long, start int")
     twice = written(passages.groupBy("passage").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("passage"), "twice")
