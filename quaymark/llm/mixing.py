@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quaymark.llm.shared import packed, written
 
-BITS, LEVELS = 12, 4
+#: A hash has BITS; each level of buckets shows it without its last bits. The last level tells single values apart, among what is left of a source's 2**24 buckets.
+BITS, SHIFTS = 48, (36, 24, 0)
 #: Thresholds per source: what the first one leaves of a budget is filled with later documents that are small enough.
 ROUNDS = 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,7 +35,7 @@ def size_of(text: Column) -> Column:
 
 
 def hash_of(doc_id: Column, text: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id.cast("long"), F.xxhash64(text.cast("string"))), F.lit(1 << (BITS * LEVELS)))
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.xxhash64(text.cast("string"))), F.lit(1 << BITS))
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
@@ -80,7 +81,7 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
         joined = out.join(hit, out["source"].eqNullSafe(F.col("s_")), "left")
         # Without an edge all that is left of the source fits; the document at the last round's edge is in if that comes nearer to the target.
         last = (2 * F.col("rest") >= F.col("size")).cast("long") if k == ROUNDS - 1 else F.lit(0)
-        below = F.when(F.col("bucket").isNotNull(), F.col("bucket") + last).when(F.col(f"left{k}").isNotNull(), F.lit(1 << (BITS * LEVELS))).otherwise(F.lit(0))
+        below = F.when(F.col("bucket").isNotNull(), F.col("bucket") + last).when(F.col(f"left{k}").isNotNull(), F.lit(1 << BITS)).otherwise(F.lit(0))
         out = written(joined.select(*out.columns, below.alias(f"below{k}"), (F.col("bucket") + 1).alias(f"from{k + 1}"), F.col("rest").alias(f"left{k + 1}")), "thresholds")
     return out
 
@@ -88,9 +89,8 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
 def _edge(slim: DataFrame, state: DataFrame) -> DataFrame:
     """source, bucket (a hash value), left, size: where the budget ``left`` of each source ends, among its documents from a hash on of no more than that size."""
     state = state.select("source", F.lit(0).cast("long").alias("bucket"), "left", "from", F.col("left").alias("most"))
-    for level in range(1, LEVELS + 1):
-        shift = BITS * (LEVELS - level)
-        rows = (F.shiftright("hash", shift + BITS) == F.col("bucket")) & (F.col("hash") >= F.col("from")) & ((F.col("from") == 0) | (F.col("size") <= F.col("most")))
+    for above, shift in zip((BITS, *SHIFTS), SHIFTS, strict=False):
+        rows = (F.shiftright("hash", above) == F.col("bucket")) & (F.col("hash") >= F.col("from")) & ((F.col("from") == 0) | (F.col("size") <= F.col("most")))
         inside = slim.join(state.select(F.col("source").alias("s_"), "bucket", "left", "from", "most"), slim["source"].eqNullSafe(F.col("s_")) & rows)
         sums = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket"), "left", "from", "most").agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
