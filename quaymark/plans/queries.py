@@ -17,8 +17,6 @@ from quaymark.plans import report
 from quaymark.sources import archives, listings
 
 SUFFIXES = {".env": "Environment", ".json": "JSON", ".py": "Python", ".sql": "SQL / Database Dump", ".yml": "Configuration", ".pem": "Certificate / Key", ".txt": "Other", ".zip": "Archive", ".png": "Image", ".js": "JavaScript"}
-#: The rules that the documents can fire, for queries over whole tables.
-SOME = tuple(r for r in detect.RULES if r.name in ("EMAIL_ADDRESS", "CREDIT_CARD", "INTERNAL_IP"))
 THRESHOLD = 3.0
 
 
@@ -43,7 +41,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.scan(contents(spark, sf_dir), THRESHOLD, SOME, context=False)
+    return detect.scan(contents(spark, sf_dir), THRESHOLD, context=False)
 
 
 def _quoted(text: str) -> str:
@@ -230,7 +228,7 @@ def entropy_hits(spark, sf_dir):
 @query(f"WITH {FINDINGS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, token, entropy FROM alone")
 def entropy_first_per_line(spark, sf_dir):
     texts = contents(spark, sf_dir)
-    rows = detect.first_per_line(detect.entropy_hits(texts, THRESHOLD), detect.secrets(texts, SOME))
+    rows = detect.first_per_line(detect.entropy_hits(texts, THRESHOLD), detect.secrets(texts))
     return rows.select("ordinal", F.col("line_number").cast("long").alias("line_number"), "token", "entropy")
 
 

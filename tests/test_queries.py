@@ -46,6 +46,19 @@ def test_all_rules_fire(spark):
     assert fired == {r.name for r in detect.RULES}
 
 
+def test_whole_tables_meet_all_rules(spark, tmp_path):
+    """Documents with every rule's sample line: the queries over findings see what plain ``secrets`` sees."""
+    rows = [(i, f"words before\n{line}\nand after", "en", f"s{i % 2}", len(line)) for i, line in queries.INLINE]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = detect.secrets(queries.contents(spark, str(tmp_path))).select("rule_name", "severity", "container_id").collect()
+    assert {r.rule_name for r in want} == {r.name for r in detect.RULES}
+    got = queries.risk_by_source(spark, str(tmp_path)).collect()
+    assert {r.container_id: r.critical for r in got} == {c: sum(r.severity == "Critical" and r.container_id == c for r in want) for c in {r.container_id for r in want}}
+    assert {r.rule_name for r in queries.findings(spark, str(tmp_path)).select("rule_name").distinct().collect()} - {"HIGH_ENTROPY_STRING"} == {r.name for r in detect.RULES}
+    assert queries.exit_flag(spark, str(tmp_path)).first().exit_code == 2
+    assert {"PRIVATE_KEY", "AWS_ACCESS_KEY"} <= {r.rule_name for r in queries.sorted_findings(spark, str(tmp_path)).collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
