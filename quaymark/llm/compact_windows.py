@@ -10,9 +10,9 @@ document gives cells, whose passages share both minima. There are BANDS independ
    text count once, and no pairs are made).
 2. Candidate starts are verified exactly: the words of each passage are hashed whole, and passages that two texts or more
    have are merged to spans.
-3. Candidate cells outside those spans are verified as near-duplicates: each is held against the passage of another text
-   in its cell (the least one, or the greatest for the least itself), at the same distance from the common token, and
-   counts if the 5-gram sets reach a similarity of NEAR. That is one comparison per cell, however many texts share it.
+3. The other passages of candidate cells are verified as near-duplicates: every passage that does not lie inside an exact
+   span is held against all passages of all other texts in its cell, and counts if the 5-gram sets reach a similarity of
+   NEAR. Cells of many texts are dealt to blocks, every two of which meet; equal sets are compared once.
 4. Spans go to all documents with the text; a text of WORDS words or more that several documents have is one whole span.
 
 Defined results: a word is ``[^\\x20\\x09-\\x0D]+``, compared byte for byte; null and short texts have no spans; documents without
@@ -33,9 +33,13 @@ from pyspark.sql import functions as F
 from quaymark.llm import textkernel as K
 from quaymark.llm.shared import lean, pieces_of, written
 
-SHINGLE, WORDS, NEAR, BANDS = 5, 50, 0.8, 2
+SHINGLE, WORDS, NEAR, BANDS = 5, 50, 0.8, 3
 SPAN = WORDS - SHINGLE + 1
 PLACE_BITS = 26
+#: Cells of a key that a block holds, about; two blocks meet in one row.
+BLOCK = 256
+#: Sets of passages that are held against each other at once.
+ROWS = 512
 #: Rows sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -181,15 +185,112 @@ def _passages(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), part.column("id").take(pa.array(of)), pa.array((at - bounds[of]).astype(np.int32))], names=["passage", "id", "start"])
 
 
-def _sets(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    """The distinct 5-grams of each passage asked for."""
+def _runs(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """The 5-grams of each cell asked for, and a byte per start: 1 unless its passage lies inside an exact span."""
     _, _, grams, bounds = _grams(data, offsets)
-    lists = part.column("starts")
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    start = lists.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(lists)), size)
-    rows = [np.unique(grams[a : a + SPAN]).view(np.int64).tolist() for a in (bounds[doc] + start).tolist()]
-    return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(rows, pa.list_(pa.int64()))], names=["id", "start", "grams"])
+    lists, spans = part.column("cells"), part.column("spans")
+    mark = np.zeros(len(grams) + 1, dtype=np.int64)
+    flat, of = spans.flatten(), np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    np.add.at(mark, bounds[of] + flat.field("start").to_numpy(), 1)
+    np.add.at(mark, bounds[of] + flat.field("stop").to_numpy() - WORDS + 1, -1)
+    free = (np.cumsum(mark[:-1]) == 0).astype(np.uint8)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+    first, size = bounds[doc] + lo, hi - lo + SPAN
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+    held, kept = grams[at], {}
+    keys = flat.field("key").to_pylist()
+    for i, (d, k, e, n, f) in enumerate(zip(doc.tolist(), keys, ends.tolist(), size.tolist(), first.tolist(), strict=True)):
+        run, opened = held[e - n : e].tobytes(), free[f : f + n - SPAN + 1].tobytes()
+        kept.setdefault((d, k, run, opened), []).append(int(lo[i]))  # a text's equal cells are one row
+    columns = list(zip(*kept, strict=True)) or [()] * 4
+    runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 8 for x in columns[2])]).astype(np.int32)), pa.array(np.frombuffer(b"".join(columns[2]), dtype=np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[1], pa.int64()), part.column("id").take(pa.array(columns[0], pa.int64())), pa.array(list(kept.values()), pa.list_(pa.int32())), pa.array(columns[3], pa.binary()), runs],
+        names=["key", "id", "los", "free", "grams"],
+    )
+
+
+def alike(ids: np.ndarray, sizes: np.ndarray, free: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """For each start of some cells, one after the other, whether it is free and its passage near to one of another text.
+
+    ``sizes`` counts the starts of each cell; a cell has SPAN - 1 more grams. All passages meet. Grams that only one text has
+    cannot be common, and passages with the same other grams are compared once.
+    """
+    none = np.zeros(int(sizes.sum()), dtype=bool)
+    run = np.repeat(np.arange(len(ids)), sizes + SPAN - 1)
+    _, name = np.unique(grams, return_inverse=True)
+    low, high = np.full(name.max() + 1, np.iinfo(np.int64).max), np.full(name.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, name, ids[run])
+    np.maximum.at(high, name, ids[run])
+    common = low != high
+    # A gram counts in a passage where it stands first there.
+    order = np.lexsort((np.arange(len(name)), name, run))
+    before = np.full(len(name), -1)
+    again = (name[order][1:] == name[order][:-1]) & (run[order][1:] == run[order][:-1])
+    before[order[1:][again]] = order[:-1][again]
+    cell = np.repeat(np.arange(len(ids)), sizes)
+    start = np.arange(len(cell)) + cell * (SPAN - 1)
+    window = start[:, None] + np.arange(SPAN)
+    counts = before[window] < start[:, None]
+    size = counts.sum(axis=1)
+    shared = counts & common[name[window]]
+    able = np.flatnonzero(shared.sum(axis=1) >= NEAR * size)
+    if not len(able) or not free[able].any():
+        return none
+    column, width = np.cumsum(common) - 1, int(common.sum())
+    bits = []
+    for a in range(0, len(able), ROWS):
+        some = able[a : a + ROWS]
+        sets = np.zeros((len(some), width), dtype=np.uint8)
+        r, j = np.nonzero(shared[some])
+        sets[r, column[name[window[some[r], j]]]] = 1
+        bits.append(np.packbits(sets, axis=1))
+    held = np.concatenate([size[able, None].astype(np.uint8), np.concatenate(bits)], axis=1)
+    _, first, which = np.unique(np.ascontiguousarray(held).view(np.dtype((np.void, held.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    own, n, held = ids[cell[able]], size[able][first], held[first, 1:]
+    low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+    np.minimum.at(low, which, own)
+    np.maximum.at(high, which, own)
+    least, most = np.full_like(low, np.iinfo(np.int64).max), np.full_like(high, np.iinfo(np.int64).min)
+    dense = lambda a: np.unpackbits(held[a : a + ROWS], axis=1, count=width).astype(np.float32)
+    for a in range(0, len(first), ROWS):
+        mine = dense(a)
+        for b in range(0, len(first), ROWS):
+            both = mine @ dense(b).T
+            near = both >= NEAR * (n[a : a + ROWS, None] + n[None, b : b + ROWS] - both) - 1e-4
+            r, j = np.nonzero(near)
+            np.minimum.at(least, a + r, low[b + j])
+            np.maximum.at(most, a + r, high[b + j])
+    none[able] = free[able] & (least[which] <= most[which]) & ((least[which] != own) | (most[which] != own))
+    return none
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, start, passage of the free starts of each row's cells that are near to another text's."""
+    for batch in batches:
+        lists = batch.column("runs")
+        cut, flat = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]), lists.flatten()
+        ids, los = flat.field("id").to_numpy(), flat.field("los")
+        opened, grams = flat.field("free"), flat.field("grams")
+        sizes = pc.binary_length(opened).to_numpy(zero_copy_only=False).astype(np.int64)
+        free = np.frombuffer(b"".join(opened.to_pylist()), dtype=np.uint8) > 0
+        whole = grams.flatten().to_numpy()
+        at, of = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(sizes + SPAN - 1)])
+        hit = np.zeros(len(free), dtype=bool)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if free[at[a] : at[b]].any() and (ids[a:b] != ids[a]).any():
+                hit[at[a] : at[b]] = alike(ids[a:b], sizes[a:b], free[at[a] : at[b]], whole[of[a] : of[b]])
+        found = np.flatnonzero(hit)
+        cell = np.repeat(np.arange(len(ids)), sizes)[found]
+        many = pc.list_value_length(los).to_numpy(zero_copy_only=False).astype(np.int64)[cell]
+        place = np.repeat(np.concatenate([[0], np.cumsum(pc.list_value_length(los).to_numpy(zero_copy_only=False))])[cell], many)
+        lo = los.flatten().to_numpy()[place + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
+        start = lo + np.repeat(found - at[cell], many)
+        key = np.repeat(batch.column("key").to_numpy(), np.diff(cut))[cell]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[cell], many)), pa.array(start.astype(np.int32)), pa.array(np.repeat(key, many))], names=["id", "start", "passage"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,22 +356,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def near_passages(candidates: DataFrame, exact: DataFrame, held: DataFrame) -> DataFrame:
-    """id, start, passage, exact (false) of passages that are near-duplicates of another text's, outside exact spans."""
-    covered = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col("hi") + WORDS) & (s["stop"] > F.col("lo"))), F.lit(False))
-    open_ = candidates.join(exact, "id", "left").where(~covered)
-    mine = written(open_.select("key", "id", "lo", "hi", "c", F.when(F.col("id") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other")), "open")
-    # A key may occur in several cells of a text; its first one stands for it.
-    theirs = candidates.join(mine.select("key", F.col("other").alias("id")).distinct(), ["key", "id"], "left_semi").groupBy("key", "id").agg(F.min(F.struct("c", "lo", "hi")).alias("t"))
-    both = mine.join(theirs.select("key", F.col("id").alias("other"), "t"), ["key", "other"])
-    # The same distance from the common token on both sides, as far as both cells allow.
-    low, high = F.greatest(F.col("c") - F.col("hi"), F.col("t.c") - F.col("t.hi")), F.least(F.col("c") - F.col("lo"), F.col("t.c") - F.col("t.lo"))
-    off = F.floor((low + high) / 2)
-    fit = lambda c, lo, hi: F.greatest(F.least(F.col(c) - off, F.col(hi)), F.col(lo)).cast("int")
-    asked = written(both.select("key", "id", fit("c", "lo", "hi").alias("start"), "other", fit("t.c", "t.lo", "t.hi").alias("there")), "asked")
-    wanted = asked.select("id", "start").union(asked.select(F.col("other"), F.col("there"))).distinct().groupBy("id").agg(F.collect_list("start").alias("starts"))
-    sets = written(held.select("id", "text").join(wanted, "id").mapInArrow(lean(_each(_sets)), "id long, start int, grams array<long>"), "sets")
-    pairs = asked.join(sets, ["id", "start"]).join(sets.select(F.col("id").alias("other"), F.col("start").alias("there"), F.col("grams").alias("grams_")), ["other", "there"])
-    common = F.size(F.array_intersect("grams", "grams_"))
-    alike = pairs.where(common >= NEAR * (F.size("grams") + F.size("grams_") - common)).select("key", "id", "start", "other", "there")
-    rows = alike.select("id", "start", F.col("key").alias("passage")).union(alike.select(F.col("other"), F.col("there"), F.col("key")))
-    return rows.withColumn("exact", F.lit(False))
+    """id, start, passage, exact (false) of passages that are near-duplicates of another text's in a common cell, unless they lie inside an exact span."""
+    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col("hi") + WORDS) & (s["stop"] > F.col("lo"))), F.lit(False))
+    live = written(candidates.join(exact, "id", "left").where(~inside).select("key").distinct(), "live")
+    asked = candidates.join(live, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("cells"))
+    spans = exact.select("id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
+    rows = held.select("id", "text").join(asked, "id").join(spans, "id", "left")
+    found = written(rows.mapInArrow(lean(_each(_runs)), "key long, id long, los array<int>, free binary, grams array<long>"), "runs")
+    # Cells are dealt to blocks by a hash; every two blocks of a key meet.
+    blocks = written(found.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = found.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", F.col("los")[0]), F.col("blocks")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    twos = dealt.select("key", "id", "los", "free", "grams", F.explode(met).alias("b")).groupBy("key", "b.i", "b.j").agg(F.collect_list(F.struct("id", "los", "free", "grams")).alias("runs"))
+    return twos.select("key", "runs").mapInArrow(lean(_near), "id long, start int, passage long").withColumn("exact", F.lit(False))

@@ -110,3 +110,38 @@ def test_near_passages(spark):
 
 def test_empty(spark):
     assert C.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [512, 7])
+def test_alike_is_brute_force(monkeypatch, rows):
+    monkeypatch.setattr(C, "ROWS", rows)
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        base, ids, sizes, runs = r.integers(0, 10**6, 64), [], [], []
+        for i in range(int(r.integers(2, 7))):
+            n = int(r.integers(1, 20))
+            run = base[: n + C.SPAN - 1].copy()
+            run[r.integers(0, len(run), int(r.integers(0, 12)))] = r.integers(0, 40, 1)
+            ids, sizes, runs = [*ids, i // 2], [*sizes, n], [*runs, run]
+        free = r.random(sum(sizes)) < 0.7
+        sets = [(i, set(run[a : a + C.SPAN].tolist())) for i, n, run in zip(ids, sizes, runs, strict=True) for a in range(n)]
+        want = [f and any(i != j and len(s & t) >= C.NEAR * len(s | t) for j, t in sets) for f, (i, s) in zip(free.tolist(), sets, strict=True)]
+        assert C.alike(np.array(ids), np.array(sizes), free, np.concatenate(runs)).tolist() == want
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_to_any_text_of_a_cell(spark, monkeypatch, block):
+    """Texts A, B, C share minima; only two of them are near, whichever ids they have. And short near passages."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, near = [], set()
+    for k in range(40):
+        base = fresh(r.randint(50, 70))
+        other = list(base)
+        other[r.choice([2, len(base) - 3])] = "x"
+        loose = [[w if i % 12 else f"v{k}.{j}" for i, w in enumerate(base)] for j in range(6)]
+        near |= {(k, 0), (k, 1)}
+        rows += [(10 * k + j, " ".join(fresh(30) + p + fresh(30))) for j, p in enumerate([base, other, *loose])]
+    got = {(x.doc_id // 10, x.doc_id % 10) for x in C.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not x.exact}
+    assert len(got & near) >= 0.9 * len(near)
