@@ -357,7 +357,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def near_passages(candidates: DataFrame, exact: DataFrame, held: DataFrame) -> DataFrame:
     """id, start, passage, exact (false) of passages that are near-duplicates of another text's in a common cell, unless they lie inside an exact span."""
-    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col("hi") + WORDS) & (s["stop"] > F.col("lo"))), F.lit(False))
+    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("lo")) & (s["stop"] >= F.col("hi") + WORDS)), F.lit(False))
     live = written(candidates.join(exact, "id", "left").where(~inside).select("key").distinct(), "live")
     asked = candidates.join(live, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("cells"))
     spans = exact.select("id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))

@@ -145,3 +145,17 @@ def test_near_to_any_text_of_a_cell(spark, monkeypatch, block):
         rows += [(10 * k + j, " ".join(fresh(30) + p + fresh(30))) for j, p in enumerate([base, other, *loose])]
     got = {(x.doc_id // 10, x.doc_id % 10) for x in C.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not x.exact}
     assert len(got & near) >= 0.9 * len(near)
+
+
+def test_near_beside_exact(spark):
+    """Two texts share 100 words but for word 76: what reaches beyond the exact span of words 0 to 75 is near."""
+    r = random.Random(12)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(20):
+        base = fresh(100)
+        rows += [(2 * k, " ".join(base + fresh(40))), (2 * k + 1, " ".join(base[:76] + ["x"] + base[77:] + fresh(40)))]
+    rows += [(100, " ".join(["z"] * 300)), (101, " ".join(["z"] * 290 + ["y"]))]
+    got = C.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.start_word, x.end_word) for x in got if x.exact and x.doc_id < 100) == [(d, 0, 76) for d in range(40)]
+    assert len({x.doc_id for x in got if not x.exact and x.doc_id < 100 and x.end_word >= 100}) >= 36
