@@ -7,7 +7,8 @@ lie closest together. The estimate starts from medians and median deviations and
 each, documents are binned by their Mahalanobis distance and the moments are summed per bin, so one aggregation over all
 documents gives both the quantile and the next estimate, and no group is gathered or sampled.
 
-Groups of fewer than MIN_ROWS documents are pooled by language, and what is still small is not tested.
+Documents of groups of fewer than MIN_ROWS are held against their whole language's estimate, and those of languages that are
+still small against the whole corpus's, so every document that passes the base rules has a distance.
 
 Defined results: a null text has no words and fails the base rules; null language or source is a group value of its own; null
 doc_ids stay null; ties lie in one bin, so they are taken together; repeated rows count as often as they occur; an empty
@@ -183,19 +184,23 @@ def _start(points: DataFrame) -> DataFrame:
     return written(wide.select("key", *[f"m{i}" for i in range(P)], *weights), "estimates")
 
 
-def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL) -> DataFrame:
-    """stats with ``distance`` (null: not tested) and ``kept``."""
+def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL, corpus: bool = False) -> DataFrame:
+    """stats with ``distance`` (null: not tested) and ``kept``. With ``corpus``, documents of languages that stay small are held against all documents."""
     tested = stats.where(~F.col("base_failed"))
     # Groups are named by escaped, joined values, so null and text cannot be taken for each other.
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    sized = tested.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < min_rows
-    keyed = sized.select("lang", "source", F.concat_ws("\x1f", name("lang"), F.when(small, F.lit("*")).otherwise(name("source"))).alias("key"), "n")
-    pooled = keyed.groupBy("key").agg(F.sum("n").alias("all"))
-    keys = written(keyed.join(pooled.where(F.col("all") >= min_rows), "key").select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "key"), "groups")
+    sized = tested.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("in_lang", F.sum("n").over(Window.partitionBy("lang")))
+    language = F.concat_ws("\x1f", name("lang"), F.lit("*"))
+    level = F.when(F.col("n") >= min_rows, F.concat_ws("\x1f", name("lang"), name("source"))).when(F.col("in_lang") >= min_rows, language)
+    keys = written(sized.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), F.coalesce(level, F.lit("*") if corpus else F.lit(None)).alias("key"), language.alias("language")).where("key IS NOT NULL"), "groups")
     of_group = F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))
     vectors = [v.alias(f"v{i}") for i, v in enumerate(vector())]
-    points = written(tested.join(keys, of_group).select("key", *vectors), "points")
+    # A document counts in its own group, and in its language's and the corpus's estimate where some group needs those.
+    wide = keys.where("key = language OR key = '*'").select("key").distinct()
+    held = tested.join(keys, of_group, "left")
+    own = held.where("key IS NOT NULL AND key != '*' AND key != language").select("key", *vectors)
+    named = tested.withColumn("language", language).select(F.explode(F.array("language", F.lit("*"))).alias("key"), *vectors)
+    points = written(own.unionByName(named.join(F.broadcast(wide), "key", "left_semi")), "points")
     estimate, scale = _start(points), consistency(share)
     for _ in range(steps):
         bins = points.join(estimate, "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("key", "bin").agg(*_moments())
@@ -213,4 +218,4 @@ def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows:
 def rate(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept for every document."""
     stats = written(statistics(docs), "statistics")
-    return judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return judge(stats, corpus=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

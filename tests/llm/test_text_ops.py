@@ -78,6 +78,24 @@ def test_outliers(spark):
     assert np.allclose(np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y), d, rtol=0.1, atol=0.02)
 
 
+def test_small_groups_are_tested(spark):
+    """Small sources are held against their whole language, small languages against the corpus."""
+    r = np.random.default_rng(2)
+    groups = [("en", "hot", 400), ("en", "rare", 10), ("xx", "tiny", 3), (None, None, 20)]
+    rows = []
+    for lang, source, size in groups:
+        for k in range(size):
+            n = int(np.exp(r.normal(5, 0.5))) + 20
+            odd = k == 1
+            rows.append((len(rows), lang, source, n, n * (40 if odd else 5), n * 3 if odd else 0, 0, 0, False))
+    stats = spark.createDataFrame(rows, robust_quality.STATS + ", base_failed boolean")
+    got = {x.doc_id: (x.kept, x.distance) for x in robust_quality.judge(stats, corpus=True).collect()}
+    assert len(got) == len(rows) and all(d is not None for _, d in got.values())
+    assert {i for i, (kept, _) in got.items() if not kept} == {1, 401, 411, 414}
+    alone = {x.doc_id: x.distance for x in robust_quality.judge(stats).collect()}
+    assert all(alone[i] is not None for i in range(410)) and all(alone[i] is None for i in range(410, len(rows)))
+
+
 def test_chi_square():
     assert abs(robust_quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3
     assert abs(robust_quality.chi_square_quantile(0.5, 2) - 1.386294) < 1e-5
