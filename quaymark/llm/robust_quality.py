@@ -31,7 +31,7 @@ from quaymark.llm.shared import lean, pieces_of, written
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED = 8, 20, 30
 #: Share of documents in the estimate; steps; smallest group; tail beyond which a document is rejected.
-SHARE, STEPS, MIN_ROWS, TAIL = 0.75, 6, 50, 1e-7
+SHARE, STEPS, MIN_ROWS, TAIL = 0.75, 6, 50, 1e-4
 #: Standard deviations below which no statistic is taken to vary, for n_words, word length, symbols, repeats and repeated lines.
 FLOORS = (0.5, 0.15, 0.6, 0.8, 0.5)
 P = len(FLOORS)
@@ -131,7 +131,7 @@ def consistency(share: float = SHARE, freedom: int = P) -> float:
     return share / gamma_share(freedom / 2 + 1, chi_square_quantile(share, freedom) / 2)
 
 
-def _estimates(sums: DataFrame, scale: float) -> DataFrame:
+def _estimates(sums: DataFrame, scale: float, added: bool) -> DataFrame:
     """key, n, m0.. (means) and w0.. (the upper triangle of the inverse covariance) from counts and summed moments, a row per group."""
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -142,7 +142,8 @@ def _estimates(sums: DataFrame, scale: float) -> DataFrame:
             cov = np.zeros((len(n), P, P))
             for i, j in pairs:
                 cov[:, i, j] = cov[:, j, i] = scale * (b.column(f"x{i}{j}").to_numpy(zero_copy_only=False) / n - mean[:, i] * mean[:, j])
-            inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
+            lift = np.square(FLOORS) if added else np.maximum(np.square(FLOORS) - np.diagonal(cov, axis1=1, axis2=2), 0)
+            inverse = np.linalg.inv(cov + np.eye(P) * np.broadcast_to(lift, (len(n), P))[:, None, :])
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(mean[:, i]) for i in range(P)), *(pa.array(inverse[:, i, j]) for i, j in pairs)], names=["key", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in pairs)])
 
     kind = ", ".join(["key string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in pairs)])
@@ -164,7 +165,7 @@ def _moments() -> list[Column]:
     return [*out, *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"x{i}{j}") for i in range(P) for j in range(i, P))]
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _start(points: DataFrame, added: bool) -> DataFrame:
     """First estimates: medians and scaled median deviations, from histograms."""
 
     def middle(rows: DataFrame, value: Column) -> DataFrame:
@@ -180,12 +181,14 @@ def _start(points: DataFrame) -> DataFrame:
     spread = middle(long.join(centre, ["key", "i"]), F.abs(F.col("v") - F.col("mid")))
     both = centre.join(spread.withColumnRenamed("mid", "dev"), ["key", "i"]).groupBy("key")
     wide = both.agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("i") == i, F.col("dev"))).alias(f"d{i}") for i in range(P)])
-    weights = [(1.0 / (F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(P) for j in range(i, P)]
+    spread_of = lambda i: F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0))
+    variance = lambda i: spread_of(i) + FLOORS[i] ** 2 if added else F.greatest(spread_of(i), F.lit(FLOORS[i] ** 2))
+    weights = [(1.0 / variance(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(P) for j in range(i, P)]
     return written(wide.select("key", *[f"m{i}" for i in range(P)], *weights), "estimates")
 
 
-def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL, corpus: bool = False) -> DataFrame:
-    """stats with ``distance`` (null: not tested) and ``kept``. With ``corpus``, documents of languages that stay small are held against all documents."""
+def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL, corpus: bool = False, added: bool = True) -> DataFrame:
+    """stats with ``distance`` (null: not tested) and ``kept``. With ``corpus``, documents of languages that stay small are held against all documents. Floors are ``added`` to the spread, or are its minimum."""
     tested = stats.where(~F.col("base_failed"))
     # Groups are named by escaped, joined values, so null and text cannot be taken for each other.
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
@@ -201,14 +204,14 @@ def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows:
     own = held.where("key IS NOT NULL AND key != '*' AND key != language").select("key", *vectors)
     named = tested.withColumn("language", language).select(F.explode(F.array("language", F.lit("*"))).alias("key"), *vectors)
     points = written(own.unionByName(named.join(F.broadcast(wide), "key", "left_semi")), "points")
-    estimate, scale = _start(points), consistency(share)
+    estimate, scale = _start(points, added), consistency(share)
     for _ in range(steps):
         bins = points.join(estimate, "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("key", "bin").agg(*_moments())
         w = Window.partitionBy("key")
         ranked = bins.withColumn("below", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w))
         closest = ranked.where(F.col("below") < F.ceil(share * F.col("all")))
         sums = closest.groupBy("key").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("key", "bin")])
-        estimate = _estimates(sums, scale)
+        estimate = _estimates(sums, scale, added)
     joined = stats.join(keys, of_group & ~F.col("base_failed"), "left").join(estimate, "key", "left")
     far = joined.select(*[F.col(c) for c in stats.columns], *vectors, *[c for c in estimate.columns if c != "key"]).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square_quantile(1 - tail, P))
@@ -218,4 +221,4 @@ def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows:
 def rate(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept for every document."""
     stats = written(statistics(docs), "statistics")
-    return judge(stats, corpus=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return judge(stats, corpus=True, added=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

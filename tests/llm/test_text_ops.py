@@ -96,6 +96,21 @@ def test_small_groups_are_tested(spark):
     assert all(alone[i] is not None for i in range(410)) and all(alone[i] is None for i in range(410, len(rows)))
 
 
+def test_real_outliers_go(spark):
+    """30 symbols per 100 words in a group without any are rejected; floors do not widen a spread that is real."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        n = int(np.exp(r.normal(6, 1.0))) + 20
+        rows.append((i, "en", "a", n, n * 5, int(n * 0.3) if i % 100 == 7 else 0, 0, 0, False))
+    stats = spark.createDataFrame(rows, robust_quality.STATS + ", base_failed boolean")
+    got = {x.doc_id: (x.kept, x.distance) for x in robust_quality.judge(stats, added=False).collect()}
+    assert {i for i, (kept, _) in got.items() if not kept} == {7, 107, 207, 307}
+    wide = {x.doc_id: x.distance for x in robust_quality.judge(stats).collect()}
+    longest = max((i for i in got if i % 100 != 7), key=lambda i: rows[i][3])
+    assert got[longest][1] > 1.1 * wide[longest]
+
+
 def test_chi_square():
     assert abs(robust_quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3
     assert abs(robust_quality.chi_square_quantile(0.5, 2) - 1.386294) < 1e-5
