@@ -1,8 +1,9 @@
 """Token ids of many texts by the tokenizers library, with each distinct pre-token encoded once per worker.
 
 The byte-level vocabulary splits a text by a fixed pattern and merges inside each part alone, so equal parts have equal
-ids. The split is done over whole batches with numpy; parts are looked up by a 64-bit hash of their bytes in sorted
-arrays that the worker keeps, and only unseen parts go to the library.
+ids. The split is done over whole batches with numpy; parts of up to 16 bytes are looked up in sorted arrays that the worker
+keeps, and only unseen ones go to the library. A part found by its hash is compared byte for byte; longer parts, and parts
+whose hash another one has, are told apart by their bytes alone and encoded once per batch.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from quaymark.llm.textkernel import U64, buffer_of, segment_hashes
+from quaymark.llm.textkernel import U64, buffer_of, leading_bytes, mix
 
-#: Distinct pre-tokens that a worker keeps (about 40 bytes each); beyond it starts afresh, which costs time alone.
-MOST_KEPT = 3_000_000
+#: Distinct pre-tokens that a worker keeps (about 50 bytes each); beyond it starts afresh, which costs time alone.
+MOST_KEPT = 2_000_000
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The white space of the split pattern.
@@ -113,45 +114,76 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
+        self.front, self.back, self.bytes = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int8)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
-        if len(self.keys) + len(keys) > MOST_KEPT:
-            self._clear()
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each part has)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int32, len(ids))
-        pool = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
+
+    def _learn(self, keys: np.ndarray, front: np.ndarray, back: np.ndarray, n_bytes: np.ndarray, parts: list[str]) -> None:
+        pool, size = self._ids(parts)
         first = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, pool])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.size = np.insert(self.keys, where, keys), np.insert(self.first, where, first), np.insert(self.size, where, size)
+        new = {"keys": keys, "front": front, "back": back, "bytes": n_bytes.astype(np.int8), "first": first, "size": size}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), where, values))
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the table, whether a key is there)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
     def encode(self, column: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a string column; ``end`` follows each text's ids unless it is None. A null is an empty text."""
         data, offsets = buffer_of(column)
         starts, bounds = splits(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys = segment_hashes(data, starts, ends)
-        distinct, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.keys, distinct)
-        known = (found < len(self.keys)) & (self.keys[np.minimum(found, max(len(self.keys) - 1, 0))] == distinct) if len(self.keys) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > MOST_KEPT:
-                known[:] = False
-            new = example[~known]
-            raw = data.tobytes()
-            self._learn(distinct[~known], [raw[s:e].decode("utf-8") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            found = np.searchsorted(self.keys, distinct)
-        if len(keys):
-            size = self.size[found][which].astype(np.int64)
-            first = self.first[found][which]
-        else:
-            size, first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n_bytes = ends - starts
+        size, first = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        alone = n_bytes > 16
+        front, back = leading_bytes(data, starts, n_bytes)
+        keys = mix(mix(front ^ mix(n_bytes.astype(U64))) ^ back)
+        raw = memoryview(data)
+        part = lambda i: str(raw[starts[i] : ends[i]], "utf-8")
+        short = np.flatnonzero(~alone)
+        if len(short):
+            distinct, example, which = np.unique(keys[short], return_index=True, return_inverse=True)
+            example = short[example]
+            at, known = self._known(distinct)
+            if not known.all():
+                if len(self.keys) + int((~known).sum()) > MOST_KEPT:
+                    self._clear()
+                    known[:] = False
+                new = example[~known]
+                self._learn(distinct[~known], front[new], back[new], n_bytes[new], [part(i) for i in new.tolist()])
+                at, _ = self._known(distinct)
+            at = at[which]
+            same = (self.front[at] == front[short]) & (self.back[at] == back[short]) & (self.bytes[at] == n_bytes[short])
+            size[short], first[short] = self.size[at], self.first[at]
+            alone[short[~same]] = True
+        mine = np.zeros(0, np.uint32)
+        if alone.any():
+            seen: dict[bytes, int] = {}
+            own = np.flatnonzero(alone)
+            nth = np.array([seen.setdefault(bytes(raw[starts[i] : ends[i]]), len(seen)) for i in own.tolist()], dtype=np.int64)
+            mine, many = self._ids([x.decode("utf-8") for x in seen])
+            size[own], first[own] = many[nth], (np.cumsum(many) - many)[nth]
         put = np.cumsum(size)
         total = int(put[-1]) if len(put) else 0
-        ids = self.pool[np.arange(total) + np.repeat(first - (put - size), size)]
+        place = np.arange(total) + np.repeat(first - (put - size), size)
+        if len(mine):
+            from_mine = np.repeat(alone, size)
+            ids = np.empty(total, np.uint32)
+            ids[from_mine], ids[~from_mine] = mine[place[from_mine]], self.pool[place[~from_mine]]
+        else:
+            ids = self.pool[place]
         at = np.concatenate([[0], put])[bounds]
         if end is not None:
             ids = np.insert(ids, at[1:], np.uint32(end))

@@ -1,6 +1,7 @@
 """Removal of boilerplate lines by their spread over distinct sites.
 
-Each document gives its distinct non-blank lines as hashes. A HyperLogLog sketch of the sites is kept per line hash and
+Each document gives its distinct non-blank lines as 128-bit BLAKE2b digests, which stand for the lines' bytes: no two
+lines of any corpus share one, however they are built. A HyperLogLog sketch of the sites is kept per line and
 merged by aggregation, so a line that every site has costs no more than any other. Estimates far above the threshold
 decide for removal, far below for keeping; lines within ``SPREAD`` standard errors of it get an exact distinct count.
 A boilerplate line stays in one place, the first in the least document (by doc_id, then text hash), so no content is lost;
@@ -28,7 +29,7 @@ from quaymark.llm.shared import lean, packed, packed_schema, pieces_of, with_fie
 
 #: HyperLogLog sketches have 2**LG_K registers; standard errors that the exact count reaches to.
 LG_K, SPREAD = 12, 5.0
-#: So many boilerplate lines (24 bytes each) are handed to all tasks; more are joined.
+#: So many boilerplate lines (32 bytes each) are handed to all tasks; more are joined.
 MOST_SENT = 500_000
 
 
@@ -38,10 +39,19 @@ def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hashed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, bounds by text, hashes, blank) of all lines."""
+    """(starts, ends, bounds by text, digests, blank) of all lines."""
     starts, ends, bounds = K.lines(data, offsets)
     solid = np.concatenate([[0], np.cumsum(~K.IS_SPACE[data])])
-    return starts, ends, bounds, K.segment_hashes(data, starts, ends).view(np.int64), solid[ends] == solid[starts]
+    return starts, ends, bounds, K.digests(data, starts, ends), solid[ends] == solid[starts]
+
+
+def _binary(digests: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
+
+
+def _digests(column: pa.Array) -> np.ndarray:
+    """A column of digests as an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), "S16")
 
 
 def occurrences(docs: DataFrame, site: str) -> DataFrame:
@@ -67,7 +77,7 @@ def occurrences(docs: DataFrame, site: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([sites, pa.array(line[first]), pa.array(key[first]), pa.array(own[first])], names=["site", "line", "doc_id", "text_hash"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site"))
-    return held.mapInArrow(lean(run), "site string, line long, doc_id long, text_hash long")
+    return held.mapInArrow(lean(run), "site string, line binary, doc_id long, text_hash long")
 
 
 def boilerplate(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
@@ -83,21 +93,44 @@ def boilerplate(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
     return written(out.select("line", F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.text_hash").alias("text_hash")), "boilerplate")
 
 
-def _strip(part: pa.RecordBatch, line: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, lines, removed lines); the arrays tell the boilerplate lines, ascending, and their keepers."""
+class Lines:
+    """Boilerplate lines and the document that keeps each: of all documents, or (with ``of``) of each document of a batch."""
+
+    def __init__(self, line: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray, of: np.ndarray | None = None):
+        self.alike = of is None
+        key = line if of is None else self._keyed(of, line)
+        order = np.argsort(key, kind="stable")
+        self.key, self.doc_id, self.text_hash = key[order], doc_id[order], text_hash[order]
+
+    @staticmethod
+    def _keyed(of: np.ndarray, line: np.ndarray) -> np.ndarray:
+        number = of.astype(">u8").view(np.uint8).reshape(-1, 8)
+        return np.ascontiguousarray(np.concatenate([number, np.ascontiguousarray(line).view(np.uint8).reshape(-1, 16)], axis=1)).view("S24").ravel()
+
+    def find(self, line: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether it is there) of lines of the documents ``of``."""
+        if not len(self.key):
+            return np.zeros(len(line), np.int64), np.zeros(len(line), bool)
+        key = line if self.alike else self._keyed(of, line)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+
+def _strip(part: pa.RecordBatch, lines: Lines, first_row: int = 0) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts, lines, removed lines) of a part of a batch, whose rows are counted from ``first_row``."""
     column = part.column("text")
     data, offsets = K.buffer_of(column)
-    starts, ends, bounds, hashed, blank = hashed_lines(data, offsets)
+    starts, ends, bounds, digested, blank = hashed_lines(data, offsets)
     doc = K.per_text(bounds)
     n = np.diff(bounds)
     known = pc.is_valid(column).to_numpy(zero_copy_only=False)
-    gone = np.zeros(len(hashed), dtype=bool)
-    if len(line):
-        at = np.minimum(np.searchsorted(line, hashed), len(line) - 1)
-        gone = (line[at] == hashed) & ~blank
+    at, gone = lines.find(digested, doc + first_row)
+    gone &= ~blank
+    if gone.any():
         key = pc.fill_null(part.column("doc_id"), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         own = text_hashes(data, offsets)
-        keeps = np.flatnonzero(gone & (doc_id[at] == key[doc]) & (text_hash[at] == own[doc]))
+        keeps = np.flatnonzero(gone)
+        keeps = keeps[(lines.doc_id[at[keeps]] == key[doc[keeps]]) & (lines.text_hash[at[keeps]] == own[doc[keeps]])]
         if len(keeps):  # the first place in the keeper
             _, first = np.unique(np.stack([doc[keeps], at[keeps]]), axis=1, return_index=True)
             gone[keeps[first]] = False
@@ -112,25 +145,25 @@ def _strip(part: pa.RecordBatch, line: np.ndarray, doc_id: np.ndarray, text_hash
     return column.cast(pa.string()), np.where(known, n, 0), removed
 
 
-def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
-    """row_ (all columns of the input), text (what stays), n_lines, n_removed for every document."""
+def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10, most_sent: int = MOST_SENT) -> DataFrame:
+    """row_ (all columns of the input), text (what stays), n_lines, n_removed for every document. Up to ``most_sent`` boilerplate lines go to all tasks; more are joined."""
     found = boilerplate(docs, site, min_sites)
     rows = packed(docs)
     fields = {"doc_id": pa.int64(), "text": pa.string()}
     kind = packed_schema(rows, "text string, n_lines long, n_removed long")
 
-    def result(part: pa.RecordBatch, line: np.ndarray, doc_id: np.ndarray, text_hash: np.ndarray) -> pa.RecordBatch:
-        texts, n, removed = _strip(part, line, doc_id, text_hash)
+    def result(part: pa.RecordBatch, lines: Lines, first_row: int = 0) -> pa.RecordBatch:
+        texts, n, removed = _strip(part, lines, first_row)
         return pa.RecordBatch.from_arrays([part.column("row_"), texts, pa.array(n), pa.array(removed)], names=["row_", "text", "n_lines", "n_removed"])
 
-    if found.count() <= MOST_SENT:
-        sent = found.toPandas().sort_values("line")
-        held = tuple(sent[c].to_numpy() for c in ("line", "doc_id", "text_hash"))
+    if found.count() <= most_sent:
+        sent = found.toPandas()
+        lines = Lines(np.array([bytes(x) for x in sent["line"]], dtype="S16"), sent["doc_id"].to_numpy(), sent["text_hash"].to_numpy())
 
         def by_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces_of(with_fields(batch, **fields)):
-                    yield result(part, *held)
+                    yield result(part, lines)
 
         return rows.mapInArrow(lean(by_all), kind)
 
@@ -146,18 +179,23 @@ def stripped(docs: DataFrame, site: str = "source", min_sites: int = 10) -> Data
                 data, offsets = K.buffer_of(part.column("text"))
                 _, _, bounds, line, blank = hashed_lines(data, offsets)
                 doc = K.per_text(bounds)[~blank]
-                yield pa.RecordBatch.from_arrays([pa.array(text_hashes(data, offsets)[doc]), pa.array(line[~blank])], names=["own_", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(text_hashes(data, offsets)[doc]), _binary(line[~blank])], names=["own_", "line"])
 
-    # A document's boilerplate lines, found by joins, meet it again by its text's hash.
-    has = rows.select(F.col("row_.text").cast("string").alias("text")).mapInArrow(lean(lines_of), "own_ long, line long").distinct().join(found, "line")
-    mine = has.groupBy("own_").agg(F.array_sort(F.collect_list(F.struct("line", "doc_id", "text_hash"))).alias("mine_"))
+    # A text's boilerplate lines, found by joins, meet its documents again by the text's hash: one row per distinct text on that
+    # side, so a text that many documents have is a skewed key of the other side alone, which the join can split.
+    has = rows.select(F.col("row_.text").cast("string").alias("text")).mapInArrow(lean(lines_of), "own_ long, line binary").distinct().join(found, "line")
+    mine = has.groupBy("own_").agg(F.collect_list(F.struct("line", "doc_id", "text_hash")).alias("mine_"))
     whole = rows.mapInArrow(lean(keyed), packed_schema(rows, "own_ long")).join(mine, "own_", "left")
 
     def by_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                mine = batch.column("mine_")[i].as_py() or []
-                yield result(with_fields(batch.slice(i, 1), **fields), *(np.array([m[c] for m in mine], dtype=np.int64) for c in ("line", "doc_id", "text_hash")))
+            lists = batch.column("mine_")
+            flat, size = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            lines = Lines(_digests(flat.field("line")), flat.field("doc_id").to_numpy(), flat.field("text_hash").to_numpy(), np.repeat(np.arange(len(lists)), size))
+            first_row = 0
+            for part in pieces_of(with_fields(batch, **fields)):
+                yield result(part, lines, first_row)
+                first_row += part.num_rows
 
     return whole.mapInArrow(lean(by_own), kind)
 

@@ -1,35 +1,27 @@
 """Words, lines and shingles of a batch of texts as numpy arrays, without a Python object per word.
 
 Texts are looked at as one UTF-8 buffer with offsets, as Arrow has them. A word is a run of bytes other than
-``\\x20 \\x09-\\x0D``. A segment's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums and mixed;
-it depends on the bytes alone, so it is the same in every process.
+``\\x20 \\x09-\\x0D``. A segment's hash depends on its bytes alone, so it is the same in every process. It takes eight bytes at
+a time through a mixing bijection (segments of up to eight bytes never collide with others of their length), and BLAKE2b
+for long segments; nothing in it is linear, so no structure of a text makes hashes equal. Where equality decides what is
+removed, ``digests`` gives 128 bits of BLAKE2b.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STRIP = 1 << 20
+#: Segments of more bytes than this are hashed one by one.
+LONG = 128
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, dtype=U64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -88,41 +80,86 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, all_ends, bounds
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as one number (behind the end: zeros)."""
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", held, strides=(1,))
+
+
+def leading_bytes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each segment as one number, and the next eight; zeros behind its end."""
+    loaded = eights(data)
+    later = np.minimum(starts + 8, len(data))
+    return loaded[starts] & _MASKS[np.clip(size, 0, 8)], loaded[later] & _MASKS[np.clip(size - 8, 0, 8)]
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment's bytes; the segments are in order and do not overlap."""
-    out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _STRIP, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _powers(hi - lo + 1)
-        with np.errstate(over="ignore"):
-            sums = np.empty(hi - lo + 1, dtype=U64)
-            sums[0] = 0
-            np.cumsum((data[lo:hi].astype(U64) + U64(1)) * power[: hi - lo], out=sums[1:])
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
-        i = j
+    """A 64-bit hash of each segment's bytes."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(data)
+        hashed = b"".join(blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        out[long] = np.frombuffer(hashed, "<u8")
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    if not len(live):
+        return out
+    loaded = eights(data)
+    at, left, acc = starts[live], size[live], out[live]
+    while len(live):
+        acc = mix(acc ^ (loaded[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        if more.all():
+            at, left = at + 8, left - 8
+            continue
+        out[live[~more]] = acc[~more]
+        live, at, left, acc = live[more], at[more] + 8, left[more] - 8, acc[more]
     return out
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each segment's bytes, as rows of 16 bytes (kind S16): as good as comparing the bytes."""
+    raw = memoryview(data)
+    return np.frombuffer(b"".join(blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), "S16")
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two hashes in this order."""
+    with np.errstate(over="ignore"):
+        return mix(a * U64(0xD6E8FEB86659FD93) + b)
+
+
+def windows(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values: of halves that are hashed before, so it takes about log(k) steps."""
+    n = len(values) - k + 1
+    out, upto, held, size = None, 0, values, 1
+    while True:
+        if k & size:
+            part = held[upto : upto + n]
+            out = part if out is None else _joined(out, part)
+            upto += size
+        if 2 * size > k:
+            return mix(out) if k == 1 else out
+        held, size = _joined(held[:-size], held[size:]), 2 * size
+
+
 def gram_hashes(values: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of k consecutive values within a text, bounds by text); a text with fewer values has none."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
-    with np.errstate(over="ignore"):
-        acc = values[:n].copy()
-        for j in range(1, k):
-            acc *= U64(0xD6E8FEB86659FD93)
-            acc += values[j : n + j]
+    hashed = windows(values, k)
     counts = np.maximum(np.diff(bounds) - (k - 1), 0)
     inside = np.ones(n, dtype=bool)
     cut = bounds[1:-1]
     for j in range(1, k):  # a gram that starts less than k values before a text's end runs over it
         at = cut - j
         inside[at[(at >= 0) & (at < n)]] = False
-    return mix(acc[inside]), np.concatenate([[0], np.cumsum(counts)])
+    return hashed[inside], np.concatenate([[0], np.cumsum(counts)])
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +170,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     few = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < k))
     if not len(few):
         return grams, at
-    whole = []
-    with np.errstate(over="ignore"):
-        for d in few:
-            acc = U64(0)
-            for v in hashed[bounds[d] : bounds[d + 1]]:
-                acc = acc * U64(0xD6E8FEB86659FD93) + v
-            whole.append(acc)
+    whole = [windows(hashed[bounds[d] : bounds[d + 1]], int(bounds[d + 1] - bounds[d]))[0] for d in few]
     counts = np.diff(at)
-    out = np.insert(grams, at[few], mix(np.array(whole, dtype=U64)))
+    out = np.insert(grams, at[few], np.array(whole, dtype=U64))
     counts[few] = 1
     return out, np.concatenate([[0], np.cumsum(counts)])
 

@@ -116,6 +116,41 @@ def test_chi_square():
     assert abs(robust_quality.chi_square_quantile(0.5, 2) - 1.386294) < 1e-5
 
 
+def alternating(n):
+    """Two texts that hashes made of sums and powers take for each other."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_hashes_of_structured_texts(n):
+    a, b = alternating(n)
+    data, offsets = K.buffer_of(pa.array([a, b]))
+    assert len(set(K.segment_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+    words, bounds = K.shingles(*K.buffer_of(pa.array([" ".join(a), " ".join(b)])), 5)
+    whole, at = K.gram_hashes(K.segment_hashes(*K.buffer_of(pa.array(list(a + b)))[:1], np.arange(2 * n), np.arange(1, 2 * n + 1)), np.array([0, n, 2 * n]), n)
+    assert len(set(whole.tolist())) == 2
+    stats = robust_quality.base_statistics(pa.array([a + "\n" + b, a + "\n" + a]))
+    assert stats["n_dup_lines"].tolist() == [0, 1]
+
+
+def test_structured_lines_stay(spark):
+    """Either line is on three sites, so neither is on four."""
+    a, b = alternating(1024)
+    rows = [(i, x, f"s{i}") for i, x in enumerate([a, a, a, b, b, b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (10, 0):
+        got = line_dedup.stripped(docs, min_sites=4, most_sent=most).select("row_.doc_id", "text", "n_removed").collect()
+        assert sorted(map(tuple, got)) == [(i, x, 0) for i, x, _ in rows]
+
+
+def test_windows_of_hashes():
+    v = K.mix(np.arange(100, dtype=np.uint64))
+    for k in (1, 2, 3, 5, 8, 50):
+        w = K.windows(v, k)
+        assert len(w) == 101 - k == len(set(w.tolist())) and all(w[i] == K.windows(v[i : i + k], k)[0] for i in range(101 - k))
+
+
 def brute_lines(rows, least):
     sites, keep = collections.defaultdict(set), {}
     own = lambda t: int(line_dedup.text_hashes(*K.buffer_of(pa.array([t])))[0])
@@ -143,9 +178,8 @@ def brute_lines(rows, least):
 
 @pytest.mark.parametrize("most", [10**6, 0])
 @pytest.mark.parametrize("least", [2, 3])
-def test_lines(docs, most, least, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MOST_SENT", most)
-    got = line_dedup.stripped(docs, min_sites=least).select("row_.doc_id", "text", "n_lines", "n_removed").collect()
+def test_lines(docs, most, least):
+    got = line_dedup.stripped(docs, min_sites=least, most_sent=most).select("row_.doc_id", "text", "n_lines", "n_removed").collect()
     want = brute_lines(docs.collect(), least)
     assert sorted(map(tuple, got), key=repr) == want and sum(w[3] for w in want) > 0
     cleaned = line_dedup.dedup_lines(docs, min_sites=least)
