@@ -18,7 +18,9 @@ import pyarrow as pa
 from quaymark.llm.textkernel import U64, buffer_of, leading_bytes, mix
 
 #: Distinct pre-tokens that a worker keeps (about 50 bytes each); beyond it starts afresh, which costs time alone.
-MOST_KEPT = 2_000_000
+MOST_KEPT = 3_000_000
+#: Unseen parts that are handed to the library as one text, a line each.
+TOGETHER = 64
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The white space of the split pattern.
@@ -101,6 +103,50 @@ def splits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.searchsorted(starts, offsets)
 
 
+class Known:
+    """Columns (the hash, the second eight bytes, number of bytes, first id, number of ids) by ascending hash.
+
+    Two tables, as a small one is cheap to insert to and is merged to the large one now and then.
+    """
+
+    KINDS = (U64, U64, np.int8, np.int64, np.int32)
+
+    def __init__(self) -> None:
+        self.tables = [self._none(), self._none()]
+
+    def _none(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.zeros(0, k) for k in self.KINDS)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def add(self, columns: tuple[np.ndarray, ...]) -> None:
+        large, small = self.tables
+        small = self._merged(small, columns)
+        if 4 * len(small[0]) > len(large[0]) + 100_000:
+            large, small = self._merged(large, small), self._none()
+        self.tables = [large, small]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    def find(self, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(the columns but the hash, whether it is there) of hashes."""
+        out, known = [np.zeros(len(keys), k) for k in self.KINDS[1:]], np.zeros(len(keys), bool)
+        for own, *columns in self.tables:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                if hit.all():
+                    return [c[at] for c in columns], hit
+                for x, c in zip(out, columns, strict=True):
+                    x[hit] = c[at[hit]]
+                known |= hit
+        return out, known
+
+
 class Encoder:
     """Encodes batches of texts; not for more than one thread."""
 
@@ -110,35 +156,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, U64)
-        self.front, self.back, self.bytes = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int8)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, how many each part has)."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
-
-    def _learn(self, keys: np.ndarray, front: np.ndarray, back: np.ndarray, n_bytes: np.ndarray, parts: list[str]) -> None:
-        pool, size = self._ids(parts)
-        first = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, pool])
-        where = np.searchsorted(self.keys, keys)
-        new = {"keys": keys, "front": front, "back": back, "bytes": n_bytes.astype(np.int8), "first": first, "size": size}
-        for name, values in new.items():
-            setattr(self, name, np.insert(getattr(self, name), where, values))
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the table, whether a key is there)."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        self.known, self.pool, self.used = Known(), np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, where each part's begin, how many it has).
+
+        A newline between two parts is a part of its own unless one of them is white space, and its id stands for nothing else.
+        """
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.zeros(len(parts), np.int32)
+        plain = [i for i, p in enumerate(parts) if not p.isspace()]
+        joined = ["\n".join([parts[i] for i in plain[k : k + TOGETHER]]) + "\n" for k in range(0, len(plain), TOGETHER)]
+        pool = np.array([i for ids in encode(joined) for i in ids], np.uint32)
+        ends = np.flatnonzero(pool == self.newline)
+        if len(ends) != len(plain):  # another vocabulary, which does not part lines
+            plain, pool, ends = [], pool[:0], ends[:0]
+        size[plain] = np.diff(ends, prepend=-1) - 1
+        whole = np.zeros(len(parts), bool)
+        whole[plain] = True
+        rest = np.flatnonzero(~whole)
+        others = encode([parts[i] for i in rest.tolist()])
+        size[rest] = [len(x) for x in others]
+        order = np.concatenate([np.array(plain, np.int64), rest])
+        first = np.empty(len(parts), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([pool[pool != self.newline] if len(plain) else pool, np.array([i for x in others for i in x], np.uint32)]), first, size
+
+    def _learn(self, keys: np.ndarray, back: np.ndarray, n_bytes: np.ndarray, parts: list[str]) -> list[np.ndarray]:
+        """The columns of new parts, which are kept."""
+        pool, first, size = self._ids(parts)
+        first += self.used
+        while self.used + len(pool) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(pool)] = pool
+        self.used += len(pool)
+        columns = [back, n_bytes.astype(np.int8), first, size]
+        self.known.add((keys, *columns))
+        return columns
 
     def encode(self, column: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a string column; ``end`` follows each text's ids unless it is None. A null is an empty text."""
@@ -148,33 +206,38 @@ class Encoder:
         n_bytes = ends - starts
         size, first = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         alone = n_bytes > 16
-        front, back = leading_bytes(data, starts, n_bytes)
-        keys = mix(mix(front ^ mix(n_bytes.astype(U64))) ^ back)
+        front, later = leading_bytes(data, starts, n_bytes)
+        keys = mix(mix(front ^ mix(n_bytes.astype(U64))) ^ later)
         raw = memoryview(data)
         part = lambda i: str(raw[starts[i] : ends[i]], "utf-8")
         short = np.flatnonzero(~alone)
         if len(short):
             distinct, example, which = np.unique(keys[short], return_index=True, return_inverse=True)
             example = short[example]
-            at, known = self._known(distinct)
+            back, count = later[example], n_bytes[example]
+            columns, known = self.known.find(distinct)
             if not known.all():
-                if len(self.keys) + int((~known).sum()) > MOST_KEPT:
+                if len(self.known) + int((~known).sum()) > MOST_KEPT:
                     self._clear()
                     known[:] = False
-                new = example[~known]
-                self._learn(distinct[~known], front[new], back[new], n_bytes[new], [part(i) for i in new.tolist()])
-                at, _ = self._known(distinct)
-            at = at[which]
-            same = (self.front[at] == front[short]) & (self.back[at] == back[short]) & (self.bytes[at] == n_bytes[short])
-            size[short], first[short] = self.size[at], self.first[at]
+                new = self._learn(distinct[~known], back[~known], count[~known], [part(i) for i in example[~known].tolist()])
+                for x, y in zip(columns, new, strict=True):
+                    x[~known] = y
+            # Equal hashes with the same number of bytes and the same second half have the same first half, as ``mix`` is a
+            # bijection. Each part is compared with the one it was found by, and that one with the table's.
+            same = ((columns[0] == back) & (columns[1] == count))[which]
+            same &= n_bytes[short] == count[which]
+            two = np.flatnonzero(n_bytes[short] > 8)
+            same[two] &= later[short[two]] == back[which[two]]
+            size[short], first[short] = columns[3][which], columns[2][which]
             alone[short[~same]] = True
         mine = np.zeros(0, np.uint32)
         if alone.any():
             seen: dict[bytes, int] = {}
             own = np.flatnonzero(alone)
             nth = np.array([seen.setdefault(bytes(raw[starts[i] : ends[i]]), len(seen)) for i in own.tolist()], dtype=np.int64)
-            mine, many = self._ids([x.decode("utf-8") for x in seen])
-            size[own], first[own] = many[nth], (np.cumsum(many) - many)[nth]
+            mine, begin, many = self._ids([x.decode("utf-8") for x in seen])
+            size[own], first[own] = many[nth], begin[nth]
         put = np.cumsum(size)
         total = int(put[-1]) if len(put) else 0
         place = np.arange(total) + np.repeat(first - (put - size), size)
