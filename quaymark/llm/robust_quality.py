@@ -2,13 +2,17 @@
 
 Base statistics come from every whole text; a document with fewer than 20 words, or with more than 30 % of its words in
 repeated 8-word windows, fails the base rules. For the others, transformed statistics are held against their language's
-and source's minimum-covariance-determinant estimate: the mean and covariance of the three quarters of the documents that
-lie closest together. The estimate starts from medians and median deviations and is improved by concentration steps; in
-each, documents are binned by their Mahalanobis distance and the moments are summed per bin, so one aggregation over all
-documents gives both the quantile and the next estimate, and no group is gathered or sampled.
+and source's minimum-covariance-determinant estimate: the mean and covariance of the documents that lie closest together, three
+quarters of each language by their distances within their own sources. The estimate starts from the language's medians and
+median deviations and is improved by concentration steps until means rest; in each, documents are binned by their Mahalanobis
+distance and the moments are summed per bin, so one aggregation over all documents gives both the quantile and the next
+estimate, and no group is gathered or sampled.
 
-Documents of groups of fewer than MIN_ROWS are held against their whole language's estimate, and those of languages that are
-still small against the whole corpus's, so every document that passes the base rules has a distance.
+Every group is judged by an estimate of its own, whatever its size: its moments are added to those of its language with the
+weight of ``prior`` documents, and a language's to the whole corpus's in the same way. So a source of millions has its own
+estimate in effect, one of three documents its language's, and there is no size at which the rule changes.
+
+Moments are sums of whole numbers (statistics in steps of 2**-20), so reruns give the same verdicts whatever the order.
 
 Defined results: a null text has no words and fails the base rules; null language or source is a group value of its own; null
 doc_ids stay null; ties lie in one bin, so they are taken together; repeated rows count as often as they occur; an empty
@@ -26,17 +30,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import lean, pieces_of, written
+from quaymark.llm.shared import discard, lean, pieces_of, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED = 8, 20, 30
-#: Share of documents in the estimate; steps; smallest group; tail beyond which a document is rejected.
-SHARE, STEPS, MIN_ROWS, TAIL = 0.75, 6, 50, 1e-4
+#: Share of documents in the estimate; tail beyond which a document is rejected; documents that the language weighs for a source.
+SHARE, TAIL, PRIOR = 0.75, 1e-4, 50
+#: Concentration steps at most, and the part of a floor that no mean moves any more at the last one.
+STEPS, REST = 10, 0.02
 #: Standard deviations below which no statistic is taken to vary, for n_words, word length, symbols, repeats and repeated lines.
 FLOORS = (0.5, 0.15, 0.6, 0.8, 0.5)
 P = len(FLOORS)
-#: Bins of the logarithm of a distance, and of a statistic for medians.
-BIN, STAT_BIN = 0.02, 0.02
+#: Bins of the logarithm of a distance, and of a statistic for medians; steps of what is summed.
+BIN, STAT_BIN, UNIT = 0.02, 0.02, 2.0**-20
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"x{i}{j}" for i, j in PAIRS)]
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -131,23 +139,23 @@ def consistency(share: float = SHARE, freedom: int = P) -> float:
     return share / gamma_share(freedom / 2 + 1, chi_square_quantile(share, freedom) / 2)
 
 
-def _estimates(sums: DataFrame, scale: float, added: bool) -> DataFrame:
-    """key, n, m0.. (means) and w0.. (the upper triangle of the inverse covariance) from counts and summed moments, a row per group."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
+def _estimates(sums: DataFrame, scale: float) -> DataFrame:
+    """key, m0.. (means) and w0.. (the upper triangle of the inverse covariance) from counts and summed moments, a row per group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.maximum(b.column("n").to_numpy(zero_copy_only=False).astype(float), 1)
-            mean = np.stack([b.column(f"s{i}").to_numpy(zero_copy_only=False) / n for i in range(P)], axis=1)
+            column = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+            n = np.maximum(column("n"), 1e-9)
+            mean = np.stack([column(f"s{i}") * UNIT / n for i in range(P)], axis=1)
             cov = np.zeros((len(n), P, P))
-            for i, j in pairs:
-                cov[:, i, j] = cov[:, j, i] = scale * (b.column(f"x{i}{j}").to_numpy(zero_copy_only=False) / n - mean[:, i] * mean[:, j])
-            lift = np.square(FLOORS) if added else np.maximum(np.square(FLOORS) - np.diagonal(cov, axis1=1, axis2=2), 0)
-            inverse = np.linalg.inv(cov + np.eye(P) * np.broadcast_to(lift, (len(n), P))[:, None, :])
-            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(mean[:, i]) for i in range(P)), *(pa.array(inverse[:, i, j]) for i, j in pairs)], names=["key", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in pairs)])
+            for i, j in PAIRS:
+                cov[:, i, j] = cov[:, j, i] = scale * (column(f"x{i}{j}") * UNIT / n - mean[:, i] * mean[:, j])
+            lift = np.maximum(np.square(FLOORS) - np.diagonal(cov, axis1=1, axis2=2), 0)
+            inverse = np.linalg.inv(cov + np.eye(P) * lift[:, None, :])
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(mean[:, i]) for i in range(P)), *(pa.array(inverse[:, i, j]) for i, j in PAIRS)], names=["key", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)])
 
-    kind = ", ".join(["key string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in pairs)])
-    return written(sums.select("key", "n", *(f"s{i}" for i in range(P)), *(f"x{i}{j}" for i, j in pairs)).mapInArrow(lean(run), kind), "estimates")
+    kind = ", ".join(["key string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in PAIRS)])
+    return written(sums.select("key", *MOMENTS).mapInArrow(lean(run), kind), "estimates")
 
 
 def distance() -> Column:
@@ -161,64 +169,79 @@ def distance() -> Column:
 
 
 def _moments() -> list[Column]:
-    out = [F.count(F.lit(1)).alias("n"), *(F.sum(f"v{i}").alias(f"s{i}") for i in range(P))]
-    return [*out, *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"x{i}{j}") for i in range(P) for j in range(i, P))]
+    whole = lambda c: F.sum(F.round(c / UNIT).cast("long"))
+    out = [F.count(F.lit(1)).alias("n"), *(whole(F.col(f"v{i}")).alias(f"s{i}") for i in range(P))]
+    return [*out, *(whole(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"x{i}{j}") for i, j in PAIRS)]
 
 
-def _start(points: DataFrame, added: bool) -> DataFrame:
-    """First estimates: medians and scaled median deviations, from histograms."""
+def _start(points: DataFrame) -> DataFrame:
+    """First estimates of the languages: medians and scaled median deviations, from histograms."""
 
     def middle(rows: DataFrame, value: Column) -> DataFrame:
-        """key, i, mid: the middle of the bin where each statistic's median lies."""
-        cells = rows.groupBy("key", "i", F.floor(value / STAT_BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("key", "i")
+        """language, i, mid: the middle of the bin where each statistic's median lies."""
+        cells = rows.groupBy("language", "i", F.floor(value / STAT_BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("language", "i")
         upto = cells.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
         edge = upto.where((2 * F.col("upto") >= F.col("all")) & (2 * (F.col("upto") - F.col("n")) < F.col("all")))
-        return written(edge.select("key", "i", ((F.col("bin") + 0.5) * STAT_BIN).alias("mid")), "medians")
+        return written(edge.select("language", "i", ((F.col("bin") + 0.5) * STAT_BIN).alias("mid")), "medians")
 
-    long = points.select("key", F.posexplode(F.array(*[f"v{i}" for i in range(P)])).alias("i", "v"))
+    long = points.select("language", F.posexplode(F.array(*[f"v{i}" for i in range(P)])).alias("i", "v"))
     centre = middle(long, F.col("v"))
-    spread = middle(long.join(centre, ["key", "i"]), F.abs(F.col("v") - F.col("mid")))
-    both = centre.join(spread.withColumnRenamed("mid", "dev"), ["key", "i"]).groupBy("key")
+    spread = middle(long.join(centre, ["language", "i"]), F.abs(F.col("v") - F.col("mid")))
+    both = centre.join(spread.withColumnRenamed("mid", "dev"), ["language", "i"]).groupBy("language")
     wide = both.agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("i") == i, F.col("dev"))).alias(f"d{i}") for i in range(P)])
-    spread_of = lambda i: F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0))
-    variance = lambda i: spread_of(i) + FLOORS[i] ** 2 if added else F.greatest(spread_of(i), F.lit(FLOORS[i] ** 2))
-    weights = [(1.0 / variance(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(P) for j in range(i, P)]
-    return written(wide.select("key", *[f"m{i}" for i in range(P)], *weights), "estimates")
-
-
-def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL, corpus: bool = False, added: bool = True) -> DataFrame:
-    """stats with ``distance`` (null: not tested) and ``kept``. With ``corpus``, documents of languages that stay small are held against all documents. Floors are ``added`` to the spread, or are its minimum."""
-    tested = stats.where(~F.col("base_failed"))
+    variance = lambda i: F.greatest(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)), F.lit(FLOORS[i] ** 2))
+    weights = [(1.0 / variance(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in PAIRS]
+    out = written(wide.select("language", *[f"m{i}" for i in range(P)], *weights), "estimates")
+    discard(centre, spread)
+    return out
+
+
+def _pooled(sums: DataFrame, groups: DataFrame, prior: float) -> DataFrame:
+    """key and moments of each group, with its language's at the weight of ``prior`` documents, and that with the corpus's."""
+    total = lambda rows, tag: rows.agg(*[F.sum(c).alias(f"{tag}{c}") for c in MOMENTS])
+    corpus, languages = total(sums, "c_"), total(sums.groupBy("language"), "l_")
+    # The corpus is one row, and languages are few.
+    held = groups.join(sums.drop("language"), "key", "left").join(languages, "language", "left").join(F.broadcast(corpus), F.lit(True))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    of_corpus = lambda c: zero(f"c_{c}") / F.greatest(zero("c_n"), F.lit(1.0))
+    of_language = lambda c: (zero(f"l_{c}") + prior * of_corpus(c)) / (zero("l_n") + prior)
+    return held.select("key", *[((zero(c) + prior * of_language(c)) if c != "n" else zero("n") + prior).alias(c) for c in MOMENTS])
+
+
+def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, prior: float = PRIOR, tail: float = TAIL) -> DataFrame:
+    """stats with ``distance`` (null: fails the base rules) and ``kept``."""
     # Groups are named by escaped, joined values, so null and text cannot be taken for each other.
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    sized = tested.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("in_lang", F.sum("n").over(Window.partitionBy("lang")))
-    language = F.concat_ws("\x1f", name("lang"), F.lit("*"))
-    level = F.when(F.col("n") >= min_rows, F.concat_ws("\x1f", name("lang"), name("source"))).when(F.col("in_lang") >= min_rows, language)
-    keys = written(sized.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), F.coalesce(level, F.lit("*") if corpus else F.lit(None)).alias("key"), language.alias("language")).where("key IS NOT NULL"), "groups")
-    of_group = F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))
+    language = name("lang")
+    key = F.concat_ws("\x1f", language, name("source"))
     vectors = [v.alias(f"v{i}") for i, v in enumerate(vector())]
-    # A document counts in its own group, and in its language's and the corpus's estimate where some group needs those.
-    wide = keys.where("key = language OR key = '*'").select("key").distinct()
-    held = tested.join(keys, of_group, "left")
-    own = held.where("key IS NOT NULL AND key != '*' AND key != language").select("key", *vectors)
-    named = tested.withColumn("language", language).select(F.explode(F.array("language", F.lit("*"))).alias("key"), *vectors)
-    points = written(own.unionByName(named.join(F.broadcast(wide), "key", "left_semi")), "points")
-    estimate, scale = _start(points, added), consistency(share)
+    points = written(stats.where(~F.col("base_failed")).select(language.alias("language"), key.alias("key"), *vectors), "points")
+    groups = written(points.select("language", "key").distinct(), "groups")
+    scale, first = consistency(share), _start(points)
+    estimate = written(groups.join(first, "language").drop("language"), "estimates")
     for _ in range(steps):
-        bins = points.join(estimate, "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("key", "bin").agg(*_moments())
-        w = Window.partitionBy("key")
-        ranked = bins.withColumn("below", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-        closest = ranked.where(F.col("below") < F.ceil(share * F.col("all")))
-        sums = closest.groupBy("key").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("key", "bin")])
-        estimate = _estimates(sums, scale, added)
-    joined = stats.join(keys, of_group & ~F.col("base_failed"), "left").join(estimate, "key", "left")
+        bins = written(points.join(estimate, "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("language", "key", "bin").agg(*_moments()), "bins")
+        w = Window.partitionBy("language").orderBy("bin")
+        upto = bins.groupBy("language", "bin").agg(F.sum("n").alias("n")).withColumns({"below": F.sum("n").over(w) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("language"))})
+        closest = bins.join(upto.where(F.col("below") < F.ceil(share * F.col("all"))).select("language", "bin"), ["language", "bin"])
+        sums = written(closest.groupBy("language", "key").agg(*[F.sum(c).alias(c) for c in MOMENTS]), "sums")
+        new = _estimates(_pooled(sums, groups, prior), scale)
+        moved = F.greatest(*[F.abs(F.col(f"a.m{i}") - F.col(f"b.m{i}")) / FLOORS[i] for i in range(P)])
+        rests = (new.alias("a").join(estimate.alias("b"), "key").agg(F.max(moved).alias("m")).first()["m"] or 0.0) <= REST
+        discard(bins, sums, estimate)
+        estimate = new
+        if rests:
+            break
+    discard(points, groups, first)
+    own = F.when(~F.col("base_failed"), key)
+    joined = stats.withColumn("key_", own).join(estimate, F.col("key_") == F.col("key"), "left")
     far = joined.select(*[F.col(c) for c in stats.columns], *vectors, *[c for c in estimate.columns if c != "key"]).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square_quantile(1 - tail, P))
-    return far.select(*stats.columns, "distance", kept.alias("kept"))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_quantile(1 - tail, P))
+    return far.select(*stats.columns, "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def rate(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept for every document."""
     stats = written(statistics(docs), "statistics")
-    return judge(stats, corpus=True, added=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
