@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.shared import written
+from quaymark.llm.shared import discard, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,14 @@ def connected(edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col("a") != F.col("b"))
     both = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    labels_at = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at_"), F.col("label").alias("next"))
         new = written(lower.join(jump, F.col("label") == F.col("at_"), "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
-        changed = new.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        discard(labels_at)
+        labels, labels_at = new.select("node", "label"), new
+        if new.where(F.col("old") != F.col("label")).isEmpty():
+            discard(both)
             return labels

@@ -1,15 +1,16 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets, with Bayesian pruning of candidates.
 
-1. Each document becomes its set of shingles: a 128-bit fingerprint of the set (its *node*) and 160 MinHash values.
-   Documents with equal sets share a node, so copies take part once, whatever their number.
+1. Each document becomes its set of shingles: a 128-bit fingerprint of the set and 160 MinHash values. Documents with equal sets
+   are one *node*, a number, so copies take part once, whatever their number.
 2. Bands of five values give candidate buckets (a pair of similarity 0.8 shares none of 32 bands once in 300,000).
 3. In a bucket, MinHash values of each pair are compared a few at a time; after each step a pair is dropped if the posterior
    probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below
-   TOLERANCE. What survives is not listed as pairs: a bucket gives a star per connected set of survivors. A bucket too large
-   for that is joined to one star as it is, which can only add candidates.
-4. Stars are merged to components. Any pair that can be linked lies in one component, so each component's sets are sent to
-   one task, or, if it is large, to one task for each pair of its blocks.
-5. There each pair is pruned in the same way and the rest verified exactly by intersecting the sets. The task gives
+   TOLERANCE. What survives is not listed as pairs: a bucket gives a star per connected set of survivors. In a bucket of more
+   than BLOCK nodes each node is first compared with the least one, in a pass without groups; the nodes that are dropped there
+   are compared with the whole bucket, block by block.
+4. Stars are merged to components. Any pair that can be linked lies in one component. Components of more than one block compare
+   MinHash values for every two blocks, and only nodes with a surviving partner in the other block send their sets there.
+5. Each pair is pruned in the same way and the rest verified exactly by intersecting the sets. A task gives
    link counts and stars of verified links per node, never pairs; the stars' components are the classes.
 
 Links are counted between documents: a node's number is the sum of its partners' copies and its own other copies.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
 from quaymark.llm.components import connected
-from quaymark.llm.shared import lean, packed, pieces_of, written
+from quaymark.llm.shared import discard, lean, packed, pieces_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -70,8 +71,8 @@ def distinct_shingles(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, n
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def nodes(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows of 16 bytes, a fingerprint of each non-empty set."""
+def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Rows of 16 bytes, one for each non-empty set."""
     full = np.flatnonzero(np.diff(bounds))
     out = np.zeros((len(bounds) - 1, 2), dtype=">u8")
     if len(full):
@@ -106,7 +107,7 @@ def text_key(text: Column) -> Column:
 
 
 def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, node (null without shingles), n_set, sketch of every document."""
+    """doc_id, text_key, fingerprint of the set (null without shingles), n_set, sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +115,18 @@ def described(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 sets, bounds = distinct_shingles(part.column("text"), n)
                 size = np.diff(bounds)
                 none = pa.array(size == 0)
-                node, sketch = (pa.compute.if_else(none, pa.scalar(None, pa.binary()), _binary(x)) for x in (nodes(sets, bounds), sketches(sets, bounds)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), node, pa.array(size), sketch], names=["doc_id", "text_key", "node", "n_set", "sketch"])
+                node, sketch = (pa.compute.if_else(none, pa.scalar(None, pa.binary()), _binary(x)) for x in (fingerprints(sets, bounds), sketches(sets, bounds)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), node, pa.array(size), sketch], names=["doc_id", "text_key", "fingerprint", "n_set", "sketch"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return held.mapInArrow(lean(run), "doc_id long, text_key long, node binary, n_set long, sketch binary")
+    return held.mapInArrow(lean(run), "doc_id long, text_key long, fingerprint binary, n_set long, sketch binary")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """node, copies, n_set, sketch, and its least document (known, doc_id, text_key in one struct)."""
+    """node, fingerprint, copies, n_set, sketch, and its least document (known, doc_id, text_key in one struct), written so that the nodes' numbers stay."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("first")
-    return rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.max("n_set").alias("n_set"), F.max("sketch").alias("sketch"), first)
+    sets = rows.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.max("n_set").alias("n_set"), F.max("sketch").alias("sketch"), first)
+    return written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -138,9 +140,9 @@ def bands(reps: DataFrame) -> DataFrame:
                     key = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :].repeat(len(held), axis=0)
                     for r in range(ROWS):
                         key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + held[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(len(held)), BANDS)))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["key", "node"])
 
-    return reps.select("node", "sketch").mapInArrow(lean(run), "key long, node binary")
+    return reps.select("node", "sketch").mapInArrow(lean(run), "key long, node long")
 
 
 def unpruned(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
@@ -193,18 +195,43 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def one_batch(table: pa.Table) -> pa.RecordBatch:
+    """All rows of a table as one batch, whatever its size: binary columns with 64-bit offsets."""
+    wide = pa.schema([pa.field(f.name, pa.large_binary()) if pa.types.is_binary(f.type) else f for f in table.schema])
+    batches = table.cast(wide).combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise ValueError(f"{len(batches)} batches of a table in one chunk")
+    return batches[0]
+
+
 def _pairs_within(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def _survivors(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+    """``unpruned`` for any number of pairs."""
+    return np.concatenate([np.zeros(0, np.int64), *(lo + unpruned(sketch, a[lo : lo + 50_000], b[lo : lo + 50_000], least) for lo in range(0, len(a), 50_000))])
+
+
+def _star(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges a, b from each node to the first one that it is connected to."""
+    label = stars(len(node), a, b)
+    moved = np.flatnonzero(node[label] != node)
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """a, b: edges whose components hold every pair of nodes that may be linked."""
     least = least_matches(threshold, tolerance)
     keyed = bands(reps)
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
     inside = written(keyed.join(shared, "key"), "candidates")
-    large = inside.where(F.col("n") > BLOCK).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    small = inside.where(F.col("n") <= BLOCK).select("key", "node").join(reps.select("node", "sketch"), "node")
+    sketches_ = reps.select("node", "sketch")
+    small = inside.where(F.col("n") <= BLOCK).select("key", "node").join(sketches_, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches):
@@ -215,35 +242,76 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
             if not parts:
                 continue
             a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            sketch = _rows(batch.column("sketch").combine_chunks() if isinstance(batch.column("sketch"), pa.ChunkedArray) else batch.column("sketch"), "<u2")
-            live = np.concatenate([lo + unpruned(sketch, a[lo : lo + 50_000], b[lo : lo + 50_000], least) for lo in range(0, len(a), 50_000)])
-            label = stars(len(key), a[live], b[live])
-            moved = np.flatnonzero(label != np.arange(len(key)))
-            node = batch.column("node")
-            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (node.take(pa.array(moved)), node.take(pa.array(label[moved])))], names=["a", "b"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+            live = _survivors(_rows(batch.column("sketch"), "<u2"), a, b, least)
+            yield _star(batch.column("node").to_numpy(), a[live], b[live])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Several whole buckets at a time."""
         held, n = [], 0
         for table in runs_of(batches, ["key"]):
             held.append(table)
             n += table.num_rows
             if n >= 4096:
-                yield pa.concat_tables(held).combine_chunks()
+                yield one_batch(pa.concat_tables(held))
                 held, n = [], 0
         if held:
-            yield pa.concat_tables(held).combine_chunks()
+            yield one_batch(pa.concat_tables(held))
 
-    dealt = small.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lean(run), "a binary, b binary").unionByName(large.where(F.col("a") != F.col("b"))).distinct()
+    edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
+    large = inside.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return written(edges.distinct(), "candidate-edges")
+
+    def near_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate([_rows(batch.column("sketch"), "<u2"), _rows(batch.column("pivot"), "<u2")])
+            n = batch.num_rows
+            near = np.zeros(n, bool)
+            near[_survivors(both, np.arange(n), n + np.arange(n), least)] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "least", "n")), pa.array(near)], names=["key", "node", "least", "n", "near"])
+
+    pivots = sketches_.join(F.broadcast(large.select(F.col("least").alias("node")).distinct()) if shared.where(F.col("n") > BLOCK).count() <= MOST_SENT else large.select(F.col("least").alias("node")).distinct(), "node", "left_semi")
+    held = large.join(sketches_, "node").join(_sent(pivots.select(F.col("node").alias("least"), F.col("sketch").alias("pivot"))), "least")
+    first = written(held.select("key", "node", "least", "n", "sketch", "pivot").mapInArrow(lean(near_least), "key long, node long, least long, n long, near boolean"), "large-buckets")
+    edges = edges.unionByName(first.where(F.col("near") & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    far = first.where(~F.col("near"))
+    if not far.isEmpty():
+        edges = edges.unionByName(_far_edges(first, far, sketches_, least))
+    return written(edges.distinct(), "candidate-edges")
+
+
+def _far_edges(bucket: DataFrame, far: DataFrame, sketches_: DataFrame, least: list[int]) -> DataFrame:
+    """a, b: stars of the surviving pairs of which one node at least is in ``far``. Blocks of those meet blocks of all nodes."""
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = far.groupBy("key").agg(of(F.count(F.lit(1))).alias("asked"))
+    rows = bucket.join(counts, "key").select("key", "node", "near", "asked", of(F.col("n")).alias("blocks")).join(sketches_, "node")
+    mine = F.xxhash64("node")
+    both = lambda asking, i, j: F.struct(F.lit(asking).alias("asking"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda i: both(False, i, F.pmod(mine, F.col("blocks"))))
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: both(True, F.pmod(mine, F.col("asked")), j))
+    dealt = rows.select("key", "node", "sketch", F.explode(F.when(F.col("near"), as_member).otherwise(F.concat(as_member, as_asked))).alias("at")).select("key", "at.i", "at.j", "at.asking", "node", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, ["key", "i", "j"]):
+            t = one_batch(table)
+            asking = t.column("asking").to_numpy(zero_copy_only=False)
+            x, y = np.flatnonzero(asking), np.flatnonzero(~asking)
+            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+            node = t.column("node").to_numpy()
+            live = _survivors(_rows(t.column("sketch"), "<u2"), a, b, least)
+            live = live[node[a[live]] != node[b[live]]]
+            # A node that asks occurs again as a member; edges go by the nodes' numbers.
+            _, own = np.unique(node, return_inverse=True)
+            yield _star(np.unique(node), own[a[live]], own[b[live]])
+
+    keys = ["key", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, shingles of the nodes in ``wanted`` (node, doc_id, text_key), from their first documents' texts."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mine = wanted.select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"))
-    if wanted.count() <= MOST_SENT:
-        mine = F.broadcast(mine)
+    mine = _sent(wanted.select("node", F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")))
     rows = held.join(mine, (text_key(F.col("text")) == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +322,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(sets))])], names=["node", "shingles"])
 
     # Repeated rows give a node twice.
-    return rows.mapInArrow(lean(run), "node binary, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    return rows.mapInArrow(lean(run), "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
 def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,70 +342,91 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return total[a, b].astype(np.int64)
 
 
-def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """node, links, least: for each task's nodes, their linked documents there and the least node they are connected to.
+def meetings(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """component, left, right, side, node: which nodes' sets meet in which pair of blocks.
 
-    members: node, component, block, blocks, copies, sketch, shingles.
+    members: component, block, blocks, node, n_set, sketch. A component of one block meets whole; of larger ones, those nodes
+    that have a partner there by size and sketch.
     """
     least = least_matches(threshold, tolerance)
-    # A node goes to the pairs of its block with all blocks of its component, one of them with itself.
+    alone = members.where("blocks = 1").select("component", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("side"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("other", other).select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "copies", "sketch", "shingles")
+    dealt = members.where("blocks > 1").withColumn("other", other).select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "node", "n_set", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, ["component", "left", "right"]):
+            t = one_batch(table)
+            a, b = _fitting(t.column("side").to_numpy(), t.column("n_set").to_numpy(), t.column("left")[0] != t.column("right")[0], threshold)
+            live = _survivors(_rows(t.column("sketch"), "<u2"), a, b, least)
+            some = pa.array(np.unique(np.concatenate([a[live], b[live]])))
+            yield pa.RecordBatch.from_arrays([t.column(c).take(some) for c in ("component", "left", "right", "side", "node")], names=["component", "left", "right", "side", "node"])
+
+    keys = ["component", "left", "right"]
+    kind = "component long, left int, right int, side int, node long"
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), kind).unionByName(alone)
+
+
+def _fitting(side: np.ndarray, size: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a task whose sizes do not rule out the threshold: within a block, or between the two sides."""
+    a, b = _pairs_within(len(size))
+    fit = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+    if across:
+        fit &= side[a] != side[b]
+    return a[fit], b[fit]
+
+
+def verified(met: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """node, links, least: for each task's nodes, their linked documents there and the least node they are connected to.
+
+    met: component, left, right, side, node, copies, sketch, shingles.
+    """
+    least = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["component", "left", "right"]):
-            t = table.combine_chunks().to_batches()
-            t = t[0] if len(t) == 1 else table.to_batches()[0]
-            n = t.num_rows
-            a, b = _pairs_within(n)
-            if t.column("left")[0] != t.column("right")[0]:
-                block = t.column("block").to_numpy()
-                across = block[a] != block[b]
-                a, b = a[across], b[across]
+            t = one_batch(table)
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             size = np.array([len(s) for s in sets])
-            sketch = _rows(t.column("sketch"), "<u2")
-            # A pair of sizes too far apart cannot reach the threshold.
-            fit = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-            a, b = a[fit], b[fit]
-            live = np.concatenate([np.zeros(0, np.int64), *(lo + unpruned(sketch, a[lo : lo + 50_000], b[lo : lo + 50_000], least) for lo in range(0, len(a), 50_000))])
+            a, b = _fitting(t.column("side").to_numpy(), size, t.column("left")[0] != t.column("right")[0], threshold)
+            live = _survivors(_rows(t.column("sketch"), "<u2"), a, b, least)
             a, b = a[live], b[live]
             if len(a):
                 common = intersections(sets, a, b)
                 linked = common >= threshold * (size[a] + size[b] - common) - 1e-9
                 a, b = a[linked], b[linked]
-            copies = t.column("copies").to_numpy()
+            copies, node, n = t.column("copies").to_numpy(), t.column("node").to_numpy(), t.num_rows
             links = np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
-            label = stars(n, a, b)
-            yield pa.RecordBatch.from_arrays([t.column("node"), pa.array(links.astype(np.int64)), t.column("node").take(pa.array(label))], names=["node", "links", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(node[stars(n, a, b)])], names=["node", "links", "least"])
 
     keys = ["component", "left", "right"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "node binary, links long, least binary")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "node long, links long, least long")
 
 
 def linked(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(described documents; node, links, copies, first of every node, where first is its class's least document)."""
+    """(described documents; fingerprint, links, copies, first of every node, where first is its class's least document)."""
     rows = written(described(docs, n), "described")
-    reps = written(representatives(rows), "nodes")
+    reps = representatives(rows)
     components = connected(candidates(reps, threshold, tolerance)).withColumnRenamed("label", "component")
     chosen = written(components.join(reps, "node"), "members")
     sizes = chosen.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_set").alias("shingles_"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles_") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     wanted = chosen.select("node", "first.doc_id", "first.text_key")
     members = chosen.join(sizes.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    checked = written(verified(members.select("node", "component", "block", "blocks", "copies", "sketch").join(shingle_sets(docs, wanted, n), "node"), threshold, tolerance), "links")
+    met = meetings(members, threshold, tolerance).join(chosen.select("node", "copies", "sketch"), "node").join(shingle_sets(docs, wanted, n), "node")
+    checked = written(verified(met, threshold, tolerance), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    full = reps.select("node", "copies", "first").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    full = written(full.select("node", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), "label"), "classes")
+    full = reps.select("node", "fingerprint", "copies", "first").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    full = written(full.select("fingerprint", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), "label"), "classes")
+    discard(chosen, checked)
     firsts = full.groupBy("label").agg(F.min("first").alias("first"))
-    return rows, written(full.drop("first").join(firsts, "label").select("node", "links", "copies", "first"), "classes")
+    return rows, written(full.drop("first").join(firsts, "label").select("fingerprint", "links", "copies", "first"), "classes")
 
 
 def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, class_id, n_links for every document."""
     rows, found = linked(docs, n, threshold, tolerance)
-    both = rows.select("doc_id", "node").join(found, "node", "left")
+    both = rows.select("doc_id", "fingerprint").join(found, "fingerprint", "left")
     alone = F.col("first").isNull()
     return both.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"))
 
@@ -345,7 +434,7 @@ def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolera
 def one_of_each(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents, all columns, of which each class keeps its least one."""
     rows, found = linked(docs, n, threshold, tolerance)
-    both = rows.select("doc_id", "text_key", "node").join(found.select("node", "first"), "node")
+    both = rows.select("doc_id", "text_key", "fingerprint").join(found.select("fingerprint", "first"), "fingerprint")
     mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     # Rows to go, and the classes' first documents where the same row occurs again.
     counted = both.groupBy("doc_id", "text_key").agg(F.bool_or(mine).alias("stays"), F.count(F.lit(1)).alias("n"))
