@@ -15,7 +15,11 @@ def connected(edges: DataFrame) -> DataFrame:
     of any degree are aggregated before the shuffle and joined with splitting of skewed keys; no neighbourhood is gathered.
     Each round's labels are a written table, which cuts the lineage.
     """
-    pairs = edges.where(F.col("a") != F.col("b"))
+    pairs = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # Each node keeps the edge to its least neighbour, and its other neighbours are joined to that one: equal edges between hubs fall together.
+    low = pairs.groupBy("a").agg(F.min("b").alias("p"))
+    thin = pairs.join(low, "a").select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("p").alias("b"))
+    pairs, first = written(thin.distinct(), "edges"), pairs
     both = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     labels_at = labels
@@ -27,5 +31,5 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(labels_at)
         labels, labels_at = new.select("node", "label"), new
         if new.where(F.col("old") != F.col("label")).isEmpty():
-            discard(both)
+            discard(first, pairs, both)
             return labels

@@ -214,10 +214,11 @@ def _survivors(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int
 
 
 def _star(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Edges a, b from each node to the first one that it is connected to."""
-    label = stars(len(node), a, b)
-    moved = np.flatnonzero(node[label] != node)
-    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
+    """Edges a, b from each node to the least one that it is connected to, by the pairs of places a and b in ``node``, where one may occur again."""
+    distinct, own = np.unique(node, return_inverse=True)
+    label = stars(len(distinct), own[a], own[b])
+    moved = np.flatnonzero(label != np.arange(len(distinct)))
+    return pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[label[moved]])], names=["a", "b"])
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -299,10 +300,7 @@ def _far_edges(bucket: DataFrame, far: DataFrame, sketches_: DataFrame, least: l
             a, b = np.repeat(x, len(y)), np.tile(y, len(x))
             node = t.column("node").to_numpy()
             live = _survivors(_rows(t.column("sketch"), "<u2"), a, b, least)
-            live = live[node[a[live]] != node[b[live]]]
-            # A node that asks occurs again as a member; edges go by the nodes' numbers.
-            _, own = np.unique(node, return_inverse=True)
-            yield _star(np.unique(node), own[a[live]], own[b[live]])
+            yield _star(node, a[live], b[live])
 
     keys = ["key", "i", "j"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long")

@@ -73,6 +73,50 @@ def test_join(spark, rows, block, monkeypatch):
     assert got == want and sum(w[2] for w in want) > 50
 
 
+def test_chained_component(spark, monkeypatch):
+    """A chain of texts, each near to its neighbours alone: links are right, and sets go only where a neighbour is."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(60)]
+    sent, meetings = [], J.meetings
+
+    def counted(*args):
+        out = meetings(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "meetings", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.join(docs).collect())) == sorted(brute(rows))
+    assert {r.class_id for r in J.join(docs).collect()} == {0}
+    blocks = 15
+    assert sent[0] < 60 * blocks / 2  # not every set to every block
+
+
+def test_large_buckets_do_not_chain(spark, monkeypatch):
+    """Texts that share a bucket without being near are no candidates: the least node's star has its neighbours alone, and the others are compared with all."""
+    monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "bands", lambda reps: reps.select(J.F.lit(1).cast("long").alias("key"), "node"))
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(6):
+        base = words(100)
+        rows += [(10 * k + j, " ".join([*base[:50], f"x{j}", *base[51:]])) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = J.representatives(J.described(docs))
+    of = {x.node: x.first.doc_id // 10 for x in reps.collect()}
+    edges = J.candidates(reps, 0.8, 1e-6).collect()
+    assert edges and all(of[x.a] == of[x.b] for x in edges)
+    assert sorted(map(tuple, J.join(docs).collect())) == sorted(brute(rows))
+
+
+def test_one_batch():
+    chunks = pa.table({"a": pa.chunked_array([[1], [2, 3]]), "b": pa.chunked_array([[b"x"], [b"yy", None]], pa.binary())})
+    got = J.one_batch(chunks)
+    assert got.num_rows == 3 and got.column("b").to_pylist() == [b"x", b"yy", None] and got.column("b").type == pa.large_binary()
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_one_of_each(spark, rows, most, monkeypatch):
     monkeypatch.setattr(J, "MOST_SENT", most)
