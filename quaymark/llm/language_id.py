@@ -10,7 +10,8 @@ per language and dimension; these are summed in Spark, so the driver receives la
 
 ``with_language`` rejects by fit: the cosine of a text's vector with the whole prototype of its language, which chance lowers in
 short texts. Per language and size (a power of two of trigrams) all documents' cosines are counted in bins of FIT_BIN; a document
-goes if its cosine lies more than FAR times the distance from the median to the lower quartile (FIT_BIN at least) below the median.
+goes if its cosine is less than FIT of the median there. Letters without a language, and languages that were not learned, do not
+come near that; clean texts do not fall so low.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned;
 equal cosines go to the lower language by code point; a null lang is not learned from; a null doc_id counts as held out;
@@ -37,8 +38,8 @@ UNDETERMINED = "und"
 POINT = 21
 #: Different trigrams that a task counts before it bundles them.
 MOST_HELD = 1 << 20
-#: Bins of cosines, and how far below the median a document of its language and size may lie.
-FIT_BIN, FAR = 0.01, 8.0
+#: Bins of cosines, and the part of the median of its language and size that a document's must reach.
+FIT_BIN, FIT = 0.01, 0.5
 
 
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,26 +93,21 @@ def bundled(grams: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS)
 
 
 class Counts:
-    """How often each trigram occurs, as ascending numbers; merged a few times per task."""
+    """How often each trigram occurs, as ascending numbers; what is new waits to be merged a few times per task."""
 
     def __init__(self) -> None:
         self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.new: list[np.ndarray] = []
-        self.waiting = 0
 
-    def add(self, grams: np.ndarray) -> int:
-        self.new.append(grams)
-        self.waiting += len(grams)
-        if self.waiting > MOST_HELD:
-            self.merge()
+    def merge(self) -> int:
+        """How many different trigrams are held."""
+        if self.new:
+            own, n = np.unique(np.concatenate(self.new), return_counts=True)
+            self.new = []
+            self.grams, which = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
+            self.n = np.bincount(which, weights=np.concatenate([self.n, n]), minlength=len(self.grams)).astype(np.int64)
         return len(self.grams)
 
-    def merge(self) -> None:
-        own, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.new]), return_counts=True)
-        self.new, self.waiting = [], 0
-        self.grams, which = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
-        self.n = np.bincount(which, weights=np.concatenate([self.n, n]), minlength=len(self.grams)).astype(np.int64)
-
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
@@ -122,6 +118,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counts] = {}
+        waiting = 0
 
         def flushed() -> pa.RecordBatch:
             names = list(sums)
@@ -136,9 +133,13 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
                 grams, bounds, _ = trigrams(part.column("text"))
                 code = part.column("lang").dictionary_encode()
                 of = np.repeat(code.indices.to_numpy(), np.diff(bounds))
-                held = sum(sums.setdefault(name, Counts()).add(grams[of == i]) for i, name in enumerate(code.dictionary.to_pylist()))
-                if held > MOST_HELD:
-                    yield flushed()
+                for i, name in enumerate(code.dictionary.to_pylist()):
+                    sums.setdefault(name, Counts()).new.append(grams[of == i])
+                waiting += len(grams)
+                if waiting > MOST_HELD:
+                    waiting = 0
+                    if sum(held.merge() for held in sums.values()) > MOST_HELD:
+                        yield flushed()
         if sums:
             yield flushed()
 
@@ -209,14 +210,13 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return predicted(slim, model).select("row_.doc_id", F.coalesce(held_out(F.col("row_.doc_id")), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def least_fits(found: DataFrame, far: float = FAR) -> dict[tuple[str, int], float]:
+def least_fits(found: DataFrame, fit: float = FIT) -> dict[tuple[str, int], float]:
     """The least fit of each language and size that stays, from all documents: at most languages x 64 sizes x 1 / FIT_BIN counts."""
     bins = found.where(F.col("lang_pred") != UNDETERMINED).groupBy("lang_pred", size_bin().alias("size"), F.floor(F.col("fit") / FIT_BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     out = {}
     for key, rows in bins.sort_values("bin").groupby(["lang_pred", "size"]):
         upto = rows["n"].cumsum().to_numpy()
-        quarter, half = (int(rows["bin"].to_numpy()[np.searchsorted(upto, share * upto[-1])]) for share in (0.25, 0.5))
-        out[key] = FIT_BIN * (half - far * max(1, half - quarter))
+        out[key[0], int(key[1])] = fit * FIT_BIN * int(rows["bin"].to_numpy()[np.searchsorted(upto, 0.5 * upto[-1])])
     return out
 
 
@@ -224,12 +224,12 @@ def size_bin() -> Column:
     return F.floor(F.log2(F.greatest("n_grams", F.lit(1)).cast("double"))).cast("int")
 
 
-def with_language(docs: DataFrame, far: float = FAR, dimensions: int = DIMENSIONS) -> DataFrame:
+def with_language(docs: DataFrame, fit: float = FIT, dimensions: int = DIMENSIONS) -> DataFrame:
     """The documents, all columns, whose language can be told: not ``und``, and not far from how its texts of that size fit."""
     spark = docs.sparkSession
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
     model = Model(*learn(docs.where(~out), dimensions))
     found = written(predicted(docs, model), "languages")
-    limits = spark.createDataFrame([(*key, least) for key, least in least_fits(found, far).items()], "l_ string, s_ int, least_ double")
+    limits = spark.createDataFrame([(*key, least) for key, least in least_fits(found, fit).items()], "l_ string, s_ int, least_ double")
     near = found.join(F.broadcast(limits), (F.col("lang_pred") == F.col("l_")) & (size_bin() == F.col("s_")))
     return near.where(F.col("fit") >= F.col("least_")).select("row_.*")

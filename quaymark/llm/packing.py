@@ -34,8 +34,10 @@ from quaymark.llm.shared import lean, pieces_of, written
 
 #: Smallest parts of combinations of three lengths are multiples of this; it bounds their number to about window**2 / (6 * GRID).
 GRID = 8
-#: Steps of the least-squares solver.
-STEPS = 400
+#: Steps of the least-squares solver at most; it looks at its error every CHECKED steps and ends when that falls by less than GAIN of itself.
+STEPS, CHECKED, GAIN = 2000, 50, 1e-3
+#: Rows of counts that are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 200_000
 
 
 def combinations(window: int, grid: int = GRID) -> np.ndarray:
@@ -48,7 +50,7 @@ def combinations(window: int, grid: int = GRID) -> np.ndarray:
 def least_squares(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Non-negative x near min |A x - histogram|, A[l, c] = how often combination c has length l.
 
-    Multiplicative updates, which keep x non-negative and never raise the error; A stays implicit.
+    Multiplicative updates, which keep x non-negative and never raise the error, until it rests; A stays implicit.
     """
     if not len(combos) or not histogram.sum():
         return np.zeros(len(combos))
@@ -60,8 +62,14 @@ def least_squares(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS)
     top = (weight * h)[combos].sum(axis=1)
     x = np.full(len(combos), h.sum() / (3.0 * len(combos)))
     size = len(histogram)
-    for _ in range(steps):
+    error = np.inf
+    for k in range(steps):
         fitted = np.bincount(combos.ravel(), weights=np.repeat(x, 3), minlength=size)
+        if k % CHECKED == 0:
+            now = float((weight * np.square(h - fitted)).sum())
+            if now >= (1 - GAIN) * error:
+                break
+            error = now
         x *= top / np.maximum((weight * fitted)[combos].sum(axis=1), 1e-12)
     return x
 
@@ -183,7 +191,9 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, gri
             seq, off = places.find(length, rank)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq), pa.array(off)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    counts = before.select("length", "task", "before")
+    counts = F.broadcast(counts) if counts.count() <= MOST_SENT else counts.hint("shuffle_hash")
+    ranked = pieces.join(counts, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -10,7 +10,8 @@ estimate, and no group is gathered or sampled.
 
 Every group is judged by an estimate of its own, whatever its size: its moments are added to those of its language with the
 weight of ``prior`` documents, and a language's to the whole corpus's in the same way. So a source of millions has its own
-estimate in effect, one of three documents its language's, and there is no size at which the rule changes.
+estimate in effect, one of three documents its language's, and there is no size at which the rule changes. The weight also keeps
+an outlier of a small group from hiding behind the spread that it makes itself: alone it counts one in a hundred.
 
 Moments are sums of whole numbers (statistics in steps of 2**-20), so reruns give the same verdicts whatever the order.
 
@@ -35,7 +36,7 @@ from quaymark.llm.shared import discard, lean, pieces_of, written
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED = 8, 20, 30
 #: Share of documents in the estimate; tail beyond which a document is rejected; documents that the language weighs for a source.
-SHARE, TAIL, PRIOR = 0.75, 1e-4, 50
+SHARE, TAIL, PRIOR = 0.75, 1e-4, 200
 #: Concentration steps at most, and the part of a floor that no mean moves any more at the last one.
 STEPS, REST = 10, 0.02
 #: Standard deviations below which no statistic is taken to vary, for n_words, word length, symbols, repeats and repeated lines.

@@ -7,11 +7,8 @@ runs again replaces its own files only.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quaymark.sources.kept import shared_folder
+
 #: Bytes of text that one kernel call works on; numpy temporaries are about 60 times as large.
 CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session names no other bound: texts are long, and both sides hold a batch or two.
@@ -28,23 +27,9 @@ BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="quaymark-")
-    atexit.register(shutil.rmtree, path, True)
-    spark.sparkContext.setCheckpointDir(f"file://{path}")
-    return f"file://{path}"
-
-
 def fresh(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/quaymark-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quaymark-{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -52,14 +37,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later result reads, and lets Spark drop the shuffle files of finished plans.
+
+    Through Hadoop's file system, so the folder may be in any store. What a returned DataFrame reads stays: it is the caller's,
+    below ``spark.checkpoint.dir``, as checkpoints are.
+    """
+    for table in tables:
+        remove(table.sparkSession, table.written_at)
+    if tables:
+        tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans: it does so once the driver has collected those plans."""
+    spark._jvm.System.gc()
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder, through Hadoop's file system, so it may be in any store."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.frombuffer(b"".join(blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), "S16")
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of two hashes in this order."""
     with np.errstate(over="ignore"):
         return mix(a * U64(0xD6E8FEB86659FD93) + b)
@@ -140,11 +140,11 @@ def windows(values: np.ndarray, k: int) -> np.ndarray:
     while True:
         if k & size:
             part = held[upto : upto + n]
-            out = part if out is None else _joined(out, part)
+            out = part if out is None else joined(out, part)
             upto += size
         if 2 * size > k:
             return mix(out) if k == 1 else out
-        held, size = _joined(held[:-size], held[size:]), 2 * size
+        held, size = joined(held[:-size], held[size:]), 2 * size
 
 
 def gram_hashes(values: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

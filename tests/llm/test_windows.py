@@ -206,3 +206,43 @@ def test_near_beside_exact(spark):
     got = C.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.start_word, x.end_word) for x in got if x.exact and x.doc_id < 100) == [(d, 0, 76) for d in range(40)]
     assert len({x.doc_id for x in got if not x.exact and x.doc_id < 100 and x.end_word >= 100}) >= 36
+
+
+def shared_passages(texts):
+    """(exact, near): the starts of 50-word passages that another text has, or has with 41 of 46 5-grams in place (a similarity of 0.8), by all alignments of any two texts."""
+    where = {}
+    for d, w in texts.items():
+        for i in range(len(w) - 4):
+            where.setdefault(tuple(w[i : i + 5]), []).append((d, i))
+    lines = {}
+    for found in where.values():
+        if len(found) <= 60:
+            for d, i in found:
+                for e, j in found:
+                    if d != e:
+                        lines.setdefault((d, e, i - j), []).append(i)
+    exact, near = {}, {}
+    for (d, _, _), places in lines.items():
+        if len(places) >= 41:
+            mark = np.zeros(len(texts[d]) - 4, int)
+            mark[places] = 1
+            count = np.convolve(mark, np.ones(46, int), "valid") if len(mark) >= 46 else np.zeros(0, int)
+            exact.setdefault(d, set()).update(np.flatnonzero(count == 46).tolist())
+            near.setdefault(d, set()).update(np.flatnonzero((count >= 41) & (count < 46)).tolist())
+    return exact, {d: s - exact[d] for d, s in near.items()}
+
+
+def test_recall_of_passages(spark):
+    """Passages, not documents: all exact ones, and nine of ten near ones, lie wholly inside a span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+    exact, near = shared_passages({d: WORD.findall(t) for t, d in first.items()})
+    spans = {}
+    for r in C.repeated(docs).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    inside = lambda found: [any(a <= i and i + 50 <= b for a, b in spans.get(d, [])) for d, s in found.items() for i in s]
+    assert all(inside(exact)) and len(inside(exact)) > 5000
+    hit = inside(near)
+    assert len(hit) > 5000 and sum(hit) >= 0.9 * len(hit)
