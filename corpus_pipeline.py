@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from quaymark.llm.shared import documents, written
+from quaymark.llm.shared import discard, documents, written
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no learned language at all, go."""
+    """Documents without a letter go, and those that fit their likeliest language far worse than its texts of their size do: no language, or none that was learned."""
     return language_id.with_language(docs)
 
 
@@ -39,8 +39,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each one's rows written and read again as the next one's documents."""
-    docs = documents(spark, sf_dir)
+    """All stages in order, each one's rows written and read again as the next one's documents, and deleted when that is done."""
+    docs, last = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
