@@ -19,6 +19,11 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))).otherwise(F.lit(0.0))
 
 
+def may_reach(text: Column, bits: float) -> Column:
+    """Whether a text has signs enough for so many bits per code point: d different ones have log2(d) at most."""
+    return F.size(F.array_distinct(F.split(text, ""))) >= 2.0 ** (bits - 1e-6) - 1e-6
+
+
 def redact(text: Column, keep: int = 6) -> Column:
     return F.when(F.length(text) <= keep, F.lit("***")).otherwise(F.concat(F.substring(text, 1, keep), F.lit("***")))
 
@@ -66,8 +71,8 @@ def key_to_url(base: Column, key: Column) -> Column:
 def file_type(url: Column) -> Column:
     """By special name, then by extension."""
     name = F.lower(F.regexp_extract(F.regexp_replace(url_path(url), r"/+$", ""), r"([^/]*)$", 1))
-    special = {n: t for t, names in tables.SPECIAL_NAMES.items() for n in names.split()}
-    by_extension = {f".{e}": t for t, names in tables.EXTENSIONS.items() for e in names.split()}
+    special = {n: t for t, names in tables.SPECIAL_NAMES.items() for n in names}
+    by_extension = {f".{e}": t for t, names in tables.EXTENSIONS.items() for e in names}
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in special.items() for x in kv]), name), tables.lookup(by_extension, extension(name), tables.OTHER))
 
 
@@ -136,6 +141,19 @@ def version_compare(a: Column, b: Column) -> Column:
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
+def key_format_ok(provider: Column, key: Column) -> Column:
+    """Whether a provider's key looks like one; a provider without a format takes any."""
+    out = F.lit(True)
+    for name, pattern in tables.KEY_FORMATS.items():
+        out = F.when(provider == name, F.coalesce(key.rlike(pattern), F.lit(False))).otherwise(out)
+    return out
+
+
+def elapsed(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, to two places."""
+    return F.round(F.unix_micros(end) / 1e6 - F.unix_micros(start) / 1e6, 2)
+
+
 def risk_band(score: Column) -> Column:
     return F.when(score >= 7, "red").when(score >= 4, "amber").otherwise("green")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -64,6 +65,56 @@ class Chain:
         return reply
 
 
+#: What a question may carry and its reply hold: characters or items, tokens.
+SUMMARY_LIMITS, FILE_LIMITS, ANOMALY_LIMITS = (10_000, 1500), (4000, 800), ((10, 20), 200)
+
+
+def summarised(provider: Provider, report_json: str) -> Reply:
+    """An executive summary of a report."""
+    most, tokens = SUMMARY_LIMITS
+    return provider.complete(f"Write an executive summary of this storage audit for managers, with priorities, in Markdown.\n\n{report_json[:most]}", tokens)
+
+
+def analysed(provider: Provider, file_name: str, file_type: str, content: str) -> Reply:
+    """What a model sees in a file, as JSON that ``parsed`` reads."""
+    most, tokens = FILE_LIMITS
+    wanted = '{"findings": [{"type", "severity", "confidence", "description", "line_hint", "recommendation"}]}'
+    return provider.complete(f"List secrets, personal data and misconfigurations in this file. Answer with JSON alone: {wanted}\n\nFile: {file_name} ({file_type})\n\n{content[:most]}", tokens)
+
+
+def anomaly_rated(provider: Provider, file_name: str, tokens: list[str], rules: list[str]) -> tuple[float | None, str]:
+    """(score from 0 to 10, explanation) of a file's findings; (None, "") if the reply is no such JSON."""
+    (n_tokens, n_rules), most = ANOMALY_LIMITS
+    asked_ = {"file": file_name, "high_entropy_strings": tokens[:n_tokens], "rules": rules[:n_rules]}
+    reply = provider.complete(f'How anomalous is this file, from 0 to 10? Answer with JSON alone: {{"score", "explanation"}}\n\n{json.dumps(asked_)}', most)
+    try:
+        found = json.loads(reply.text)
+        return min(10.0, max(0.0, float(found["score"]))), str(found.get("explanation", ""))
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return None, ""
+
+
+#: Makers of providers by name: (key, options) to a provider. Vendors' clients are registered by those who have them.
+MAKERS: dict[str, Callable[[str | None, dict], Provider]] = {}
+
+
+def chain_for(name: str | None, key: str | None = None, needs_key: bool = True, **options) -> Chain:
+    """The providers to ask: the named one and the heuristic behind it; the heuristic alone without a name, or if the maker fails."""
+    if not name:
+        return Chain()
+    maker = MAKERS.get(name.lower())
+    if maker is None:
+        raise ValueError(f"unknown provider {name!r}; there are: {', '.join(sorted(MAKERS)) or 'none'}")
+    if needs_key and not key:
+        raise AuthenticationError(f"{name} needs a key")
+    try:
+        return Chain([maker(key, options)])
+    except AuthenticationError:
+        raise
+    except Exception:  # noqa: BLE001  whatever keeps a client from being made, analysis goes on without it
+        return Chain()
+
+
 def high_value(file_url: Column, file_type: Column) -> Column:
     return file_type.isin("Certificate / Key", "Environment") | file_url.rlike(tables.HIGH_VALUE)
 
@@ -78,12 +129,12 @@ def worth_asking(contents: DataFrame, findings: DataFrame) -> DataFrame:
 
 def asked(contents: DataFrame, provider: Provider) -> DataFrame:
     """contents with reply, ai_provider, ai_model; texts are sanitised before they leave."""
-    prompts = contents.withColumn("prompt_", scalars.sanitised(F.col("content"), 4000)).drop("content")
+    prompts = contents.withColumn("prompt_", scalars.sanitised(F.col("content"), FILE_LIMITS[0])).drop("content")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.drop("prompt_").schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = [provider.complete(p) for p in frame.pop("prompt_")]
+            replies = [analysed(provider, url, kind_, p) for url, kind_, p in zip(frame["file_url"], frame["file_type"], frame.pop("prompt_"), strict=True)]
             yield frame.assign(reply=[r.text for r in replies], ai_provider=[r.provider for r in replies], ai_model=[r.model for r in replies])
 
     return prompts.mapInPandas(run, f"{kind}, reply string, ai_provider string, ai_model string")

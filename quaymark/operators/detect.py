@@ -100,21 +100,25 @@ def _bits(match: Column) -> Column:
 
 
 def _matches(k: int, rule: Rule) -> Column:
-    """The rule's matches in ``line`` as structs; its pattern is tried only where its literals are."""
+    """The rule's matches in ``line`` as structs; its pattern is tried only where its literals are, and a match is measured once."""
 
-    def good(m: Column) -> Column:
-        return _valid(rule, m) if rule.least_entropy is None else _valid(rule, m) & (_bits(m) >= rule.least_entropy)
+    def measured(m: Column) -> Column:
+        return F.struct(m.alias("match"), (F.lit(None).cast("double") if rule.least_entropy is None else _bits(m)).alias("bits"))
 
-    def described(m: Column, i: Column) -> Column:
+    def described(x: Column, i: Column) -> Column:
         fixed = {"description": rule.description, "category": rule.category, "recommendation": rule.recommendation, "confidence": rule.confidence}
         refs = F.array(*[F.lit(r) for r in rule.refs]).cast("array<string>")
         f = {c: F.lit(v).alias(c) for c, v in fixed.items()}
-        return F.struct(F.lit(k).alias("rule"), i.cast("int").alias("nth"), F.lit(rule.name).alias("name"), _severity(rule, _bits(m)).alias("severity"), m.alias("match"), f["description"], f["category"], refs.alias("refs"), f["recommendation"], f["confidence"])
+        return F.struct(F.lit(k).alias("rule"), i.cast("int").alias("nth"), F.lit(rule.name).alias("name"), _severity(rule, x["bits"]).alias("severity"), x["match"].alias("match"), f["description"], f["category"], refs.alias("refs"), f["recommendation"], f["confidence"])
 
     tried = _tried(rule, F.col("line"))
     if rule.near:
         tried = tried & F.lower(F.col("line")).contains(rule.near)
-    return F.when(tried, F.transform(F.filter(F.regexp_extract_all(F.col("line"), F.lit(rule.pattern), F.lit(1)), good), described))
+    found = F.regexp_extract_all(F.col("line"), F.lit(rule.pattern), F.lit(1))
+    good = F.transform(found if rule.validator is None else F.filter(found, lambda m: _valid(rule, m)), measured)
+    if rule.least_entropy is not None:
+        good = F.filter(good, lambda x: x["bits"] >= rule.least_entropy)
+    return F.when(tried, F.transform(good, described))
 
 
 def secrets(contents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -150,7 +154,7 @@ def entropy_hits(contents: DataFrame, threshold: float = 4.5) -> DataFrame:
 
     Tests come in order of price, and entropy once: the value is computed only for what the cheap tests let through.
     """
-    good = tokens(contents).where(~scalars.harmless(F.col("token")) & scalars.mixed_characters(F.col("token")))
+    good = tokens(contents).where(~scalars.harmless(F.col("token")) & scalars.mixed_characters(F.col("token")) & scalars.may_reach(F.col("token"), threshold))
     return good.withColumn("entropy", F.round(scalars.entropy(F.col("token")), 6)).where(F.col("entropy") >= threshold)
 
 
@@ -175,7 +179,7 @@ def entropy_findings(contents: DataFrame, threshold: float = 4.5, flagged: DataF
     hits = with_context(hits, contents) if context else hits
     return schema.finding(
         hits, file_name=scalars.url_filename(F.col("file_url")), category=F.lit(tables.SECRET), rule_name=F.lit("HIGH_ENTROPY_STRING"),
-        description=tables.text("entropy", F.format_string("%.2f", F.col("entropy"))), severity=F.lit("Low"), match=scalars.redact(F.col("token")),
+        description=tables.text("entropy", F.format_string("%.2f", F.bround("entropy", 2))), severity=F.lit("Low"), match=scalars.redact(F.col("token")),
         recommendation=tables.text("entropy_advice"), compliance_refs=F.array(F.lit("NIST IA-5")), confidence=F.lit(0.55), scanner=F.lit("EntropyHunter"),
         seq=schema.sequence(F.col("ordinal"), F.col("line_number"), F.lit(len(RULES)), F.col("token_number")),
     )
@@ -196,13 +200,14 @@ def scan(contents: DataFrame, threshold: float = 4.5, rules: tuple[Rule, ...] =
     numbered = split.select(*rest, F.explode(F.transform("lines_", lambda x, i: F.struct(x.alias("line"), (i + 1).alias("n"), around(x, i).alias("around")))).alias("l_"))
     lines = numbered.select(*rest, F.col("l_.line").alias("line"), F.col("l_.n").alias("line_number"), F.col("l_.around").alias("around_")).where(worth(F.col("line")))
     flagged = lines.withColumn("rules_", F.flatten(F.filter(F.array(*[_matches(k, r) for k, r in enumerate(rules)]), lambda x: x.isNotNull())))
-    loud = lambda t: F.length(t["token"]).between(16, 512) & ~scalars.harmless(t["token"]) & scalars.mixed_characters(t["token"]) & (_bits(t["token"]) >= threshold)
+    cheap = lambda t: F.length(t["token"]).between(16, 512) & ~scalars.harmless(t["token"]) & scalars.mixed_characters(t["token"]) & scalars.may_reach(t["token"], threshold)
     tokens_ = F.transform(F.split("line", scalars.TOKEN_DELIMITERS, -1), lambda t, i: F.struct(i.alias("nth"), t.alias("token")))
-    first = F.when((F.size("rules_") == 0) & F.col("line").rlike(long_run), F.get(F.filter(tokens_, loud), F.lit(0)))
+    measured = F.transform(F.filter(tokens_, cheap), lambda t: F.struct(t["nth"].alias("nth"), t["token"].alias("token"), _bits(t["token"]).alias("bits")))
+    first = F.when((F.size("rules_") == 0) & F.col("line").rlike(long_run), F.get(F.filter(measured, lambda t: t["bits"] >= threshold), F.lit(0)))
     alone = flagged.withColumn("first_", first).where((F.size("rules_") > 0) | F.col("first_").isNotNull())
-    bits = _bits(F.col("first_.token"))
+    bits = F.col("first_.bits")
     entropy = F.struct(
-        F.lit(len(RULES)).alias("rule"), F.col("first_.nth").alias("nth"), F.lit("HIGH_ENTROPY_STRING").alias("name"), F.lit("Low").alias("severity"), F.col("first_.token").alias("match"), tables.text("entropy", F.format_string("%.2f", bits)).alias("description"),
+        F.lit(len(RULES)).alias("rule"), F.col("first_.nth").alias("nth"), F.lit("HIGH_ENTROPY_STRING").alias("name"), F.lit("Low").alias("severity"), F.col("first_.token").alias("match"), tables.text("entropy", F.format_string("%.2f", F.bround(bits, 2))).alias("description"),
         F.lit(tables.SECRET).alias("category"), F.array(F.lit("NIST IA-5")).alias("refs"), tables.text("entropy_advice").alias("recommendation"), F.lit(0.55).alias("confidence"),
     )
     hits = alone.select(*rest, "line_number", "around_", F.explode(F.when(F.col("first_").isNull(), F.col("rules_")).otherwise(F.array(entropy))).alias("hit"))

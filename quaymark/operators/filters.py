@@ -13,8 +13,8 @@ MAX_FILE_BYTES = 20 * 1024 * 1024
 def included(files: DataFrame, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = tables.IGNORED, max_bytes: int = MAX_FILE_BYTES, keep_images: bool = False) -> DataFrame:
     """Files worth a download. A size of 0 is unknown and passes. ``keep_images`` lets images through, for their metadata."""
     extension = F.regexp_replace(scalars.extension(F.col("key")), r"^\.", "")
-    images = tuple(tables.EXTENSIONS["Image"].split())
-    skipped = tuple(e for e in tables.SKIPPED.split() if not (keep_images and e in images))
+    images = tables.EXTENSIONS["Image"]
+    skipped = tuple(e for e in tables.SKIPPED if not (keep_images and e in images))
     keep = ~extension.isin(*skipped) & ~((F.col("size_bytes") != 0) & (F.col("size_bytes") > max_bytes))
     for fragment in ignored:
         keep = keep & ~F.col("key").contains(fragment)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import scalars, tables
+from quaymark.sources.kept import checkpointed
 
 
 def risk(findings: DataFrame, *keys: str, count: tuple[str, ...] = ()) -> DataFrame:
@@ -72,10 +73,29 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc(tables.rank(F.col("severity"))), "seq", "rule_name")
 
 
+def positioned(findings: DataFrame) -> DataFrame:
+    """findings with ``position``, their place from 1 in the order of ``ordered``, without a task that sees them all.
+
+    Findings are stored once, dealt out by range and sorted there; what the ranges before hold is added to the place within a range.
+    """
+    order = [F.desc(tables.rank(F.col("severity"))), F.asc("seq"), F.asc("rule_name")]
+    held = checkpointed(checkpointed(findings).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    task = F.shiftright("at_", 33)
+    first, n = [], 0
+    for row in sorted(held.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row per range
+        first.append((row["task"], n))
+        n += row["n"]
+    base = F.broadcast(held.sparkSession.createDataFrame(first, "task_ long, first_ long"))
+    place = F.col("first_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(base, task == F.col("task_")).withColumn("position", place).drop("at_", "task_", "first_")
+
+
 def run_counters(routed: DataFrame, *keys: str) -> DataFrame:
-    """total, scanned, skipped and archive files, from routed files."""
-    count = lambda *routes: F.count_if(F.col("route").isin(*routes))
-    return routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_files"), count("text").alias("scanned_files"), count("skip_type", "skip_size").alias("skipped_files"), count("archive").alias("archive_files"))
+    """total, scanned, skipped and archive files, from routed files; with a column ``error``, files that could not be looked at, too."""
+    failed = F.col("error").isNotNull() if "error" in routed.columns else F.lit(False)
+    count = lambda *routes: F.count_if(F.col("route").isin(*routes) & ~failed)
+    more = [F.count_if(failed).alias("errors")] if "error" in routed.columns else []
+    return routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_files"), count("text").alias("scanned_files"), count("skip_type", "skip_size").alias("skipped_files"), count("archive").alias("archive_files"), *more)
 
 
 def anomaly(contents: DataFrame, findings: DataFrame | None = None, ai: DataFrame | None = None) -> DataFrame:
@@ -87,7 +107,7 @@ def anomaly(contents: DataFrame, findings: DataFrame | None = None, ai: DataFram
     """
     text = F.col("content")
     lines = F.split(text, "\n", -1)
-    loud = lambda line: F.exists(F.split(line, scalars.COARSE_DELIMITERS, -1), lambda t: (F.length(t) > 15) & (F.round(scalars.entropy(F.when(F.length(t) > 15, t).otherwise("")), 6) > 4.5))
+    loud = lambda line: F.exists(F.split(line, scalars.COARSE_DELIMITERS, -1), lambda t: (F.length(t) > 15) & scalars.may_reach(t, 4.5) & (F.round(scalars.entropy(t), 6) > 4.5))
     ratio = F.size(F.filter(lines, lambda x: x.rlike(r"(?U)[^\s=:\"',]{16}") & loud(x))) / F.greatest(F.size(lines), F.lit(1))
     low = F.lower(text)
     hits = sum(((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("long") for k in tables.KEYWORDS)

@@ -25,14 +25,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(_table(spark, sf_dir, "documents"))
+
+
+def _files(docs: DataFrame) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % 10 + 1).cast("int"))
     base = F.concat(F.lit("https://"), F.col("source"), F.lit(".s3.us-east-1.amazonaws.com/"))
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), base.alias("container_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("key"), F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"))
+    rows = docs.select(F.col("doc_id").alias("ordinal"), base.alias("container_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("key"), F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"))
     return rows.withColumn("url", scalars.key_to_url(F.col("container_id"), F.col("key"))).withColumn("file_type", scalars.file_type(F.col("url")))
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select(F.col("url").alias("file_url"), "file_type", "ordinal", "container_id", "content")
+    return _contents(files(spark, sf_dir))
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("url").alias("file_url"), "file_type", "ordinal", "container_id", "content")
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,22 +89,38 @@ TOKENS_SQL = f"""{LINES_SQL}, tokens AS (
   SELECT * FROM tokens WHERE NOT regexp_matches(token, {_quoted(tables.HARMLESS_TOKENS)}) AND len(list_distinct(string_split(token, '')))::DOUBLE / length(token) >= 0.3
     AND regexp_matches(token, '\\p{{Lu}}')::INT + regexp_matches(token, '\\p{{Ll}}')::INT + regexp_matches(token, '\\p{{Nd}}')::INT + regexp_matches(token, '[^\\p{{L}}\\p{{N}}]')::INT >= 2
 ), hits AS (SELECT *, {_bits('token')} AS entropy FROM good)"""
-FINDINGS_SQL = f"""{TOKENS_SQL}, matches AS (
-  SELECT ordinal, url, container_id, line_number, unnest(regexp_extract_all(line, '{EMAIL}')) AS m, generate_subscripts(regexp_extract_all(line, '{EMAIL}'), 1) AS nth, 0 AS rule FROM lines
-  UNION ALL SELECT ordinal, url, container_id, line_number, unnest(regexp_extract_all(line, '[0-9]+')), generate_subscripts(regexp_extract_all(line, '[0-9]+'), 1), 1 FROM lines
-), ruled AS (SELECT * FROM matches WHERE rule = 0 OR (length(m) BETWEEN 13 AND 19 AND {_luhn('m')})),
+
+
+def _rule_sql(k: int, rule: detect.Rule, source: str, rest: str) -> str:
+    """A rule's matches in the lines of a table, with its other columns ``rest``."""
+    order = list(tables.SEVERITIES)
+    higher = order[max(0, order.index(rule.severity) - 1)]
+    near = [f"contains(lower(line), {_quoted(rule.near)})"] if rule.near else []
+    hints = [f"contains({'lower(line)' if rule.fold else 'line'}, {_quoted(h)})" for h in rule.hints]
+    held = near + (["(" + " OR ".join(hints) + ")"] if hints else [])
+    tests = [f"{_bits('m')} >= {rule.least_entropy}"] if rule.least_entropy is not None else []
+    tests += [f"length(m) BETWEEN 13 AND 19 AND {_luhn('m')}"] if rule.validator == "card" else [f"NOT regexp_matches(m, {_quoted(detect.PLACEHOLDER)})"] if rule.validator else []
+    severity = _quoted(rule.severity) if rule.least_entropy is None else f"CASE WHEN {_bits('m')} >= {rule.least_entropy + detect.ESCALATION} THEN '{higher}' ELSE '{rule.severity}' END"
+    found = f"regexp_extract_all(line, {_quoted(rule.pattern)}, 1)"
+    refs = "[" + ", ".join(map(_quoted, rule.refs)) + "]" + ("" if rule.refs else "::VARCHAR[]")
+    fixed = f"{_quoted(rule.category)} AS category, {_quoted(rule.description)} AS description, {refs} AS refs, {_quoted(rule.recommendation)} AS recommendation, {rule.confidence}::DOUBLE AS confidence, 'DETERMINISTIC' AS scanner"
+    return f"SELECT {rest}, {k} AS rule, nth, '{rule.name}' AS rule_name, {severity} AS severity, {_redacted('m')} AS match, {fixed} FROM (SELECT {rest}, unnest({found}) AS m, generate_subscripts({found}, 1) AS nth FROM {source} WHERE {' AND '.join(held) or 'true'}) WHERE {' AND '.join(tests) or 'true'}"
+
+
+FINDINGS_SQL = f"""{TOKENS_SQL}, ruled AS ({' UNION ALL '.join(_rule_sql(k, r, 'lines', 'ordinal, url, container_id, line_number') for k, r in enumerate(detect.RULES))}),
 alone AS (
   SELECT h.* FROM hits h LEFT JOIN (SELECT DISTINCT url, line_number FROM ruled) r ON h.url = r.url AND h.line_number = r.line_number
   WHERE r.url IS NULL AND entropy >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY h.url, h.line_number ORDER BY token_number) = 1
 ), findings AS (
-  SELECT ordinal, url, container_id, line_number, rule, nth, {_redacted('m')} AS match, CASE rule WHEN 0 THEN 'EMAIL_ADDRESS' ELSE 'CREDIT_CARD' END AS rule_name, CASE rule WHEN 0 THEN 'Low' ELSE 'Critical' END AS severity,
-    'PII / Personal Data' AS category, CASE rule WHEN 0 THEN 'E-mail address' ELSE 'Credit card number' END AS description, CASE rule WHEN 0 THEN ['SOC2 CC6.7'] ELSE ['PCI-DSS Req 3'] END AS refs FROM ruled
-  UNION ALL SELECT ordinal, url, container_id, line_number, 20, token_number, {_redacted('token')}, 'HIGH_ENTROPY_STRING', 'Low', 'Secret Exposure', 'High-entropy string detected (entropy=' || printf('%.2f', entropy) || ') — possible undiscovered secret', ['NIST IA-5'] FROM alone
+  SELECT * FROM ruled
+  UNION ALL SELECT ordinal, url, container_id, line_number, {len(detect.RULES)}, token_number, 'HIGH_ENTROPY_STRING', 'Low', {_redacted('token')}, 'Secret Exposure', 'High-entropy string detected (entropy=' || printf('%.2f', entropy) || ') — possible undiscovered secret', ['NIST IA-5'], {_quoted(tables.TEXTS['entropy_advice'])}, 0.55, 'EntropyHunter' FROM alone
 )"""
 WEIGHT_SQL = "CASE severity " + " ".join(f"WHEN '{s}' THEN {v[1]}" for s, v in tables.SEVERITIES.items()) + " END"
 MULT_SQL = "CASE category " + " ".join(f"WHEN {_quoted(c)} THEN {m}" for c, m in tables.CATEGORIES.items()) + " END"
 RANK_SQL = "CASE severity " + " ".join(f"WHEN '{s}' THEN {v[0]}" for s, v in tables.SEVERITIES.items()) + " END"
-RISK_SQL = f"CASE WHEN count(*) = 0 THEN 2.0 ELSE round(least(10 * (1 - exp(-sum(CAST({WEIGHT_SQL} * {MULT_SQL} AS DECIMAL(10,2)))::DOUBLE / 8)), 10.0), 2) END"
+RAW_SQL = f"10 * (1 - exp(-sum(CAST({WEIGHT_SQL} * {MULT_SQL} AS DECIMAL(10,2)))::DOUBLE / 8))"
+FLOOR_SQL = f"bool_or(severity = 'Critical' AND rule_name IN ({', '.join(map(_quoted, tables.FLOOR_RULES))}))"
+RISK_SQL = f"CASE WHEN count(*) = 0 THEN 2.0 ELSE round(least(CASE WHEN {FLOOR_SQL} THEN greatest({RAW_SQL}, 8.5) ELSE {RAW_SQL} END, 10.0), 2) END"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -283,19 +307,7 @@ SAMPLES = [
 INLINE = [(i, s) for i, s in enumerate(SAMPLES)]
 
 
-def _rule_sql(rule: detect.Rule) -> str:
-    order = list(tables.SEVERITIES)
-    higher = order[max(0, order.index(rule.severity) - 1)]
-    tests = [f"contains(lower(line), {_quoted(rule.near)})"] if rule.near else []
-    hints = [f"contains({'lower(line)' if rule.fold else 'line'}, {_quoted(h)})" for h in rule.hints]
-    tests += ["(" + " OR ".join(hints) + ")"] if hints else []
-    tests += [f"{_bits('m')} >= {rule.least_entropy}"] if rule.least_entropy is not None else []
-    tests += [f"length(m) BETWEEN 13 AND 19 AND {_luhn('m')}"] if rule.validator == "card" else [f"NOT regexp_matches(m, {_quoted(detect.PLACEHOLDER)})"] if rule.validator else []
-    severity = _quoted(rule.severity) if rule.least_entropy is None else f"CASE WHEN {_bits('m')} >= {rule.least_entropy + detect.ESCALATION} THEN '{higher}' ELSE '{rule.severity}' END"
-    return f"SELECT id, '{rule.name}' AS rule_name, {severity} AS severity, {_redacted('m')} AS match FROM (SELECT id, line, unnest(regexp_extract_all(line, {_quoted(rule.pattern)}, 1)) AS m FROM inline) WHERE {' AND '.join(tests) or 'true'}"
-
-
-@query(f"WITH inline AS (SELECT id::BIGINT AS id, line FROM {_values(INLINE, 'id, line')}) " + " UNION ALL ".join(_rule_sql(r) for r in detect.RULES))
+@query(f"WITH inline AS (SELECT id::BIGINT AS id, line FROM {_values(INLINE, 'id, line')}) " + " UNION ALL ".join(f"SELECT id, rule_name, severity, match FROM ({_rule_sql(k, r, 'inline', 'id')})" for k, r in enumerate(detect.RULES)))
 def rule_all_inline(spark, sf_dir):
     rows = spark.createDataFrame([(i, str(i), "Other", s) for i, s in INLINE], "ordinal long, file_url string, file_type string, content string")
     return detect.secrets(rows).select(F.col("seq.file").alias("id"), "rule_name", "severity", "match")
@@ -307,9 +319,13 @@ def rule_hits_by_lang(spark, sf_dir):
     return findings(spark, sf_dir).select(F.col("seq.file").alias("doc_id"), "rule_name").join(lang, "doc_id").groupBy("lang", "rule_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{EMAIL}')) AS m FROM conversations) SELECT conv_id, turn, {_redacted('m')} AS match FROM l")
+TURNS = [(-1, 0, "write to ann@example.org, or b.c@x.example"), (-1, 1, "no address"), (-2, 0, "a@b")]
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id::BIGINT, turn::BIGINT, text FROM {_values(TURNS, 'conv_id, turn, text')}), l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{EMAIL}')) AS m FROM c) SELECT conv_id, turn, {_redacted('m')} AS match FROM l")
 def conversation_emails(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file_url"), F.lit("Other").alias("file_type"), F.col("conv_id").alias("ordinal"), "turn", F.col("text").alias("content"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame(TURNS, "conv_id long, turn long, text string"))
+    rows = turns.select(F.concat_ws("/", "conv_id", "turn").alias("file_url"), F.lit("Other").alias("file_type"), F.col("conv_id").alias("ordinal"), "turn", F.col("text").alias("content"))
     found = detect.secrets(rows, tuple(r for r in detect.RULES if r.name == "EMAIL_ADDRESS"))
     return found.select(F.col("seq.file").alias("conv_id"), F.substring_index("file_url", "/", -1).cast("long").alias("turn"), "match")
 
@@ -369,13 +385,51 @@ def credential_reuse(spark, sf_dir):
     return correlate.reuse(findings(spark, sf_dir)).select("file_url", "rule_name", "match")
 
 
-@query(f"""WITH {FINDINGS_SQL}, s AS (
-  SELECT container_id, list_sort(list_distinct(coalesce(list(description) FILTER (rule_name IN ('EMAIL_ADDRESS', 'CREDIT_CARD')), []))) AS pii, arg_max(severity, {RANK_SQL}) AS highest_severity FROM findings GROUP BY 1
-), g AS (SELECT container_id, string_agg(framework, ',' ORDER BY first_at) AS gaps FROM (SELECT container_id, split_part(refs[1], ' ', 1) AS framework, min((ordinal, line_number, rule, nth)) AS first_at FROM findings GROUP BY 1, 2) GROUP BY 1)
-SELECT s.container_id, array_to_string(pii, ',') AS pii, highest_severity, 1.5 * len(pii) AS total_exposure_score, gaps, CASE WHEN len(pii) > 0 THEN 'PII: ' || array_to_string(pii, ', ') ELSE 'No significant exposure surface' END AS summary FROM s JOIN g USING (container_id)""")
+def _some_sql(rules: tuple[str, ...], value: str) -> str:
+    return f"list_sort(list_distinct(coalesce(list({value}) FILTER (split_part(rule_name, ':', -1) IN ({', '.join(map(_quoted, rules))})), [])))"
+
+
+SURFACE_SQL = f"""s AS (
+  SELECT container_id, {_some_sql(tables.CREDENTIAL_RULES, "trim(split_part(description, '(', 1))")} AS credentials, {_some_sql(tables.PII_RULES, 'description')} AS pii, {_some_sql(tables.INFRASTRUCTURE_RULES, 'description')} AS infra,
+    arg_max(severity, {RANK_SQL}) AS highest_severity FROM findings GROUP BY 1
+), g AS (SELECT container_id, string_agg(framework, ',' ORDER BY first_at) AS gaps FROM (SELECT container_id, split_part(ref, ' ', 1) AS framework, min((ordinal, line_number, rule, nth, pos)) AS first_at FROM (SELECT *, unnest(refs) AS ref, generate_subscripts(refs, 1) AS pos FROM findings) GROUP BY 1, 2) GROUP BY 1)
+SELECT s.container_id, array_to_string(credentials, ',') AS credentials, array_to_string(pii, ',') AS pii, array_to_string(infra, ',') AS infra, highest_severity, 2.0 * len(credentials) + 1.5 * len(pii) + 0.5 * len(infra) AS total_exposure_score, coalesce(gaps, '') AS gaps,
+  CASE WHEN len(credentials) + len(pii) + len(infra) = 0 THEN 'No significant exposure surface' ELSE concat_ws(' | ', CASE WHEN len(credentials) > 0 THEN 'Credentials: ' || array_to_string(credentials[1:5], ', ') END,
+    CASE WHEN len(pii) > 0 THEN 'PII: ' || array_to_string(pii, ', ') END, CASE WHEN len(infra) > 0 THEN 'Infrastructure: ' || array_to_string(infra[1:3], ', ') END) END AS summary
+FROM s LEFT JOIN g USING (container_id)"""
+
+
+def _surface(rows: DataFrame) -> DataFrame:
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return rows.select("container_id", joined("credential_types", "credentials"), joined("pii_categories", "pii"), joined("infra_details", "infra"), "highest_severity", "total_exposure_score", joined("compliance_gaps", "gaps"), "summary")
+
+
+@query(f"WITH {FINDINGS_SQL}, {SURFACE_SQL}")
 def exposure_surface(spark, sf_dir):
-    rows = correlate.exposure_surface(findings(spark, sf_dir), "container_id")
-    return rows.select("container_id", F.array_join("pii_categories", ",").alias("pii"), "highest_severity", "total_exposure_score", F.array_join("compliance_gaps", ",").alias("gaps"), "summary")
+    return _surface(correlate.exposure_surface(findings(spark, sf_dir), "container_id"))
+
+
+INLINE_FILES_SQL = f"""files AS (SELECT id::BIGINT AS ordinal, 'c' || (id % 3) AS container_id, length(line) AS size_bytes, line AS content, 'u' || id AS url, 'Other' AS file_type FROM {_values(INLINE, 'id, line')}), lines AS ("""
+
+
+def _inline_findings(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, f"u{i}", "Other", f"c{i % 3}", s) for i, s in INLINE], "ordinal long, file_url string, file_type string, container_id string, content string")
+    return detect.scan(rows, THRESHOLD, context=False)
+
+
+def _inline_sql(sql: str) -> str:
+    """The SQL over the documents' findings, over the inline lines' instead."""
+    return INLINE_FILES_SQL + sql.partition("lines AS (")[2]
+
+
+@query(f"WITH {_inline_sql(FINDINGS_SQL)}, {SURFACE_SQL}")
+def exposure_inline(spark, sf_dir):
+    return _surface(correlate.exposure_surface(_inline_findings(spark), "container_id"))
+
+
+@query(f"WITH {_inline_sql(FINDINGS_SQL)} SELECT container_id, count(*) AS findings, {RISK_SQL} AS risk_score FROM findings GROUP BY 1")
+def risk_all_rules(spark, sf_dir):
+    return score.risk(_inline_findings(spark), "container_id")
 
 
 # Scores
@@ -427,11 +481,8 @@ def exit_flag(spark, sf_dir):
 
 @query(f"WITH {FINDINGS_SQL} SELECT url AS file_url, rule_name, severity, match, line_number::BIGINT AS line_number, row_number() OVER (ORDER BY {RANK_SQL} DESC, ordinal, line_number, rule, nth, rule_name) AS position FROM findings")
 def sorted_findings(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = score.ordered(findings(spark, sf_dir))
-    w = Window.orderBy(F.desc(tables.rank(F.col("severity"))), "seq", "rule_name")
-    return rows.select("file_url", "rule_name", "severity", "match", F.col("line_number").cast("long").alias("line_number"), F.row_number().over(w).cast("long").alias("position"))
+    rows = score.positioned(findings(spark, sf_dir))
+    return rows.select("file_url", "rule_name", "severity", "match", F.col("line_number").cast("long").alias("line_number"), "position")
 
 
 KEYWORD_SQL = " + ".join(f"(length(low) - length(replace(low, '{k}', ''))) // {len(k)}" for k in tables.KEYWORDS)
@@ -456,8 +507,7 @@ def anomaly_score(spark, sf_dir):
 SELECT page_id, regexp_extract(base, '^(https?://[^/]*)', 1) || href AS url, ltrim(href, '/') AS key, ends_with(href, '/') AS is_directory FROM (SELECT page_id, base, unnest(links) AS href FROM h) WHERE starts_with(href, '/')""")
 def html_links(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base_url"), "html")
-    links = listings.links(pages.select("base_url", "html"))
-    return pages.select("page_id", "base_url").join(links, "base_url").select("page_id", "url", "key", "is_directory")
+    return listings.links(pages).select("page_id", "url", "key", "is_directory")
 
 
 S3_BODY = '<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><Name>b1</Name><IsTruncated>true</IsTruncated><NextContinuationToken>tok</NextContinuationToken><Contents><Key>app/.env</Key><Size>120</Size><LastModified>2024-01-01T00:00:00Z</LastModified><ETag>"abc"</ETag></Contents><Contents><Key>app/</Key><Size>0</Size></Contents><Contents><Key>x.js</Key><Size>n/a</Size></Contents><CommonPrefixes><Prefix>logs/</Prefix></CommonPrefixes></ListBucketResult>'
@@ -491,29 +541,77 @@ def crawl_depth(spark, sf_dir):
     return listings.crawl(edges, roots, 3).select("url", F.col("depth").cast("long").alias("depth"))
 
 
-@query()
-def archive_members(spark, sf_dir):
-    """The documents of each source, zipped and unpacked again: every member comes back."""
+def _zipped(member: str, text: str | None) -> bytes:
+    """An archive with one text, and a member whose path leads out of it."""
     import io
     import zipfile
 
-    import pandas as pd
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(member, text or "")
+        z.writestr("../up.txt", "no")
+    return held.getvalue()
 
-    def zipped(frames):
+
+NAME_SQL = "regexp_extract(key, '([^/]*)$', 1)"
+
+
+@query(f"WITH {FILES_SQL} SELECT 'https://h/' || key || '.zip!/in/' || {NAME_SQL} || '.txt' AS file_url, 'Other' AS file_type, 'in/' || {NAME_SQL} || '.txt' AS archive_path, sha256(coalesce(content, '')) AS sha256 FROM files")
+def archive_members(spark, sf_dir):
+    """The documents of each source, zipped and unpacked again: every member comes back."""
+
+    def run(frames):
         for frame in frames:
-            out = []
-            for key, text in zip(frame["key"], frame["content"], strict=True):
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(f"in/{key.rpartition('/')[2]}.txt", text or "")
-                    z.writestr("../up.txt", "no")
-                out.append((f"https://h/{key}.zip", held.getvalue()))
-            yield pd.DataFrame(out, columns=["file_url", "content"])
-
-    objects = files(spark, sf_dir).select("key", "content").mapInPandas(zipped, "file_url string, content binary")
+            content = [_zipped(f"in/{key.rpartition('/')[2]}.txt", text) for key, text in zip(frame["key"], frame["content"], strict=True)]
+            yield frame[["key"]].assign(content=content).rename(columns={"key": "file_url"}).assign(file_url=[f"https://h/{key}.zip" for key in frame["key"]])
+
+    objects = files(spark, sf_dir).select("key", "content").mapInPandas(run, "file_url string, content binary")
     return archives.texts(archives.unpacked(objects)).select("file_url", "file_type", "archive_path", F.sha2("content", 256).alias("sha256"))
 
 
+# Whole scans
+
+
+@query(f"""WITH {FINDINGS_SQL}, found AS (
+  SELECT f.ordinal, f.url, f.container_id, line_number, rule, nth, rule_name, severity, match, false AS from_archive FROM findings f JOIN files USING (url) WHERE file_type NOT IN ('Archive', 'Image')
+  UNION ALL SELECT r.ordinal, r.url || '!/in.txt', r.container_id, line_number, rule, nth, rule_name, severity, match, true FROM ruled r JOIN files USING (url) WHERE file_type = 'Archive'
+)
+SELECT url AS file_url, rule_name, severity, match, from_archive FROM found
+UNION ALL SELECT file_url, rule_name, 'Critical', '[redacted — duplicated across ' || n || ' files]', false FROM (SELECT arg_min(url, (ordinal, line_number, rule, nth)) AS file_url, 'DUPLICATE_SECRET:' || arg_min(rule_name, (ordinal, line_number, rule, nth)) AS rule_name, count(DISTINCT url) AS n FROM found GROUP BY substr(sha256(match), 1, 16) HAVING count(*) >= 2)
+UNION ALL SELECT min(url), 'CREDENTIAL_REUSE:' || rule_name, 'High', '[' || count(DISTINCT url) || ' files affected]', false FROM found GROUP BY found.rule_name HAVING count(DISTINCT url) >= 3
+UNION ALL SELECT DISTINCT container_id, 'PUBLIC_BUCKET_ACCESS', 'Critical', '[AWS S3]', false FROM files
+UNION ALL SELECT container_id, rule_name, severity, '[AWS S3]', false FROM files JOIN {PATTERNS_SQL} ON regexp_matches(lower(key), pattern) GROUP BY container_id, i, rule_name, severity""")
+def whole_scan(spark, sf_dir):
+    """All that a scan finds: the documents are texts, members of archives, or images without tags, by their suffix."""
+    from quaymark.plans import scan
+
+    def run(frames):
+        for frame in frames:
+            content = [_zipped("in.txt", text) if kind == "Archive" else (text or "").encode() for kind, text in zip(frame["file_type"], frame["content"], strict=True)]
+            yield frame[["file_url"]].assign(content=content)
+
+    listed = files(spark, sf_dir)
+    objects = contents(spark, sf_dir).select("file_url", "file_type", "content").mapInPandas(run, "file_url string, content binary")
+    result = scan.scan(scan.Config("https://documents.example/", min_entropy=THRESHOLD), containers(spark, sf_dir), listed.drop("content"), objects)
+    return result.findings.select("file_url", "rule_name", "severity", "match", "from_archive")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT ordinal, line_number::BIGINT AS line_number, rule_name, severity, match FROM ruled")
+def stream_findings(spark, sf_dir):
+    """The documents as a stream, read to its end; what the rules find is a table then."""
+    import uuid
+
+    from quaymark.sources.kept import shared_folder
+    from quaymark.streaming import scan as streaming
+
+    kind = _table(spark, sf_dir, "documents").schema
+    arriving = _contents(_files(spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*")))
+    at = f"{shared_folder(spark)}/quaymark-stream-{uuid.uuid4().hex}"
+    found = streaming.rule_findings(arriving).select(F.col("seq.file").alias("ordinal"), F.col("line_number").cast("long").alias("line_number"), "rule_name", "severity", "match")
+    found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/found")
+
+
 # Semantic analysis
 
 
@@ -545,6 +643,15 @@ def ai_gate(spark, sf_dir):
     return ai.worth_asking(contents(spark, sf_dir), findings(spark, sf_dir)).select("ordinal")
 
 
+ASKED = [("h/.env", "Environment", "K=1", True), ("h/b/.env", "Environment", " \n\t", False), ("h/x.pem", "Certificate / Key", "", False), ("h/config.json", "JSON", "mail a@example.org", True), ("h/config.json?1", "JSON", "{}", False), ("h/notes.txt", "Other", "mail a@example.org", False)]
+
+
+@query(f"SELECT ordinal::BIGINT AS ordinal FROM {_values([(i, a[3]) for i, a in enumerate(ASKED)], 'ordinal, asked')} WHERE asked")
+def ai_gate_inline(spark, sf_dir):
+    rows = spark.createDataFrame([(i, f"https://{u}", t, x, "c") for i, (u, t, x, _) in enumerate(ASKED)], "ordinal long, file_url string, file_type string, content string, container_id string")
+    return ai.worth_asking(rows, detect.scan(rows, THRESHOLD, context=False)).select("ordinal")
+
+
 TAGS = [("https://h/a.jpg", {"Make": "Cam", "Artist": "Eve", "Software": ""}, True), ("https://h/b.jpg", {"Model": "M" * 50}, False), ("https://h/c.jpg", {}, False)]
 
 
@@ -564,7 +671,16 @@ def report_markdown_lines(spark, sf_dir):
     return rows.select(F.col("seq.file").alias("ordinal"), "rule_name", F.substring_index("block", "\n", 1).alias("title"))
 
 
-@query()
+JSON_SQL = ", ".join(
+    f"'{name}', {value}"
+    for name, value in (
+        ("file_url", "f.url"), ("file_name", "regexp_extract(f.url, '([^/]*)$', 1)"), ("file_type", "file_type"), ("category", "category"), ("rule_name", "rule_name"), ("description", "description"), ("severity", "severity"), ("match", "match"), ("context", "''"),
+        ("line_number", "line_number"), ("recommendation", "recommendation"), ("compliance_refs", "refs"), ("confidence", "confidence"), ("scanner", "scanner"), ("from_archive", "false"), ("archive_path", "''"),
+    )
+)
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT f.ordinal, json_object({JSON_SQL})::VARCHAR AS json FROM findings f JOIN files USING (url)")
 def report_json(spark, sf_dir):
     return report.json_report(findings(spark, sf_dir)).select(F.col("seq.file").alias("ordinal"), "json")
 

@@ -19,7 +19,9 @@ class Config:
 
     url: str
     owned: bool = True
-    organisation: str = ""
+    organisation: str = "unnamed"
+    concurrency: int = 8
+    timeout: float = 30.0
     min_entropy: float = 4.5
     min_severity: str | None = None
     max_file_bytes: int = filters.MAX_FILE_BYTES
@@ -35,6 +37,10 @@ class Config:
             raise ValueError("url must begin with http:// or https://")
         if not self.owned:
             raise ValueError("a scan needs confirmed ownership")
+        if not self.organisation:
+            raise ValueError("a report needs an organisation")
+        if not 1 <= self.concurrency <= 100 or self.timeout <= 0:
+            raise ValueError("concurrency must be 1 to 100, and timeout positive")
         if self.max_file_bytes <= 0 or not 0 <= self.min_entropy <= 24:
             raise ValueError("limits must be positive")
         if self.min_severity is not None and self.min_severity not in tables.SEVERITIES:
@@ -52,19 +58,20 @@ class Result:
 def scan(config: Config, containers: DataFrame, files: DataFrame, objects: DataFrame) -> Result:
     """containers, files (url, key, size_bytes, file_type, ordinal, container_id) and objects (file_url, content as bytes).
 
-    Files are filtered and routed before they meet their contents, so what is not looked at is not read.
+    Files are filtered and routed before they meet their contents, so what is not looked at is not read, and they meet them once.
+    Findings are stored once; counters, risk and reports read that table.
     """
     kept = filters.included(files, config.extensions, config.ignored, config.max_file_bytes, keep_images=config.deep_metadata)
     routed = filters.routed(kept, config.max_file_bytes, config.deep_metadata, config.extract_archives)
-    names = routed.select(F.col("url").alias("file_url"), "file_type", "ordinal", "container_id", "route")
-    of = lambda route: names.where(F.col("route") == route).drop("route").join(objects, "file_url")
+    looked = F.col("route").isin("text", "archive", "image")
+    names = routed.where(looked).select(F.col("url").alias("file_url"), "file_type", "ordinal", "container_id", "route")
+    met = names.join(objects.select("file_url", "content"), "file_url")
+    of = lambda route: met.where(F.col("route") == route).drop("route")
     texts = listings.decoded(of("text"))
-    found = detect.scan(texts, config.min_entropy)
-    unpacked = archives.unpacked(of("archive"))
-    # A member is known by its path; order and container are its archive's.
-    members = archives.texts(unpacked).withColumn("archive_url", F.substring_index("file_url", "!/", 1)).join(names.select(F.col("file_url").alias("archive_url"), "ordinal", "container_id"), "archive_url").drop("archive_url")
-    found = found.unionByName(detect.secrets(members))
-    found = checkpointed(found)  # correlation and scores read it several times
+    # Members carry their archive's order and container; an archive is unpacked once.
+    members = archives.texts(archives.unpacked(of("archive")))
+    found = checkpointed(detect.scan(texts, config.min_entropy).unionByName(detect.secrets(members)))
+    errors = checkpointed(archives.unreadable(of("archive")).select("file_url", "error"))
     all_found = misconfig.public_containers(containers).unionByName(misconfig.sensitive_findings(containers, kept)).unionByName(found)
     if config.deep_metadata:
         tags = images.read(of("image").select("file_url", "content")).join(names.select("file_url", "ordinal", "container_id"), "file_url")
@@ -75,5 +82,6 @@ def scan(config: Config, containers: DataFrame, files: DataFrame, objects: DataF
     all_found = all_found.unionByName(correlate.duplicates(found, config.strict_duplicates)).unionByName(correlate.reuse(found))
     if config.min_severity is not None:
         all_found = filters.at_least(all_found, config.min_severity)
-    errors = unpacked.where(F.col("error").isNotNull()).select("file_url", "error")
-    return Result(all_found, score.run_counters(routed), score.container_risk(containers, all_found), errors)
+    all_found = checkpointed(all_found)
+    counted = routed.join(errors.select(F.col("file_url").alias("url"), "error"), "url", "left")
+    return Result(all_found, score.run_counters(counted), score.container_risk(containers, all_found), errors)

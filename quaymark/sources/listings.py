@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +77,15 @@ def joined(base: Column, href: Column) -> Column:
 
 
 def links(pages: DataFrame, ignored: tuple[str, ...] = tables.IGNORED) -> DataFrame:
-    """base_url, position, url, key, is_directory of the links of pages (base_url, html): the first of equal ones, none to other hosts, to parents or to ignored paths."""
+    """position, url, key, is_directory of the links of pages (base_url, html), beside the pages' other columns: the first of equal ones, none to other hosts, to parents or to ignored paths."""
+    rest = [c for c in pages.columns if c != "html"]
     found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.trim(h)))
-    rows = pages.select("base_url", F.posexplode(found).alias("position", "href"))
+    rows = pages.select(*rest, F.posexplode(found).alias("position", "href"))
     keep = ~F.col("href").isin("", "../", "./", "#") & ((host(F.col("href")) == "") | (host(F.col("href")) == host(F.col("base_url"))))
     for fragment in ignored:
         keep = keep & ~F.col("href").contains(fragment)
     url = joined(F.col("base_url"), F.col("href"))
-    return rows.where(keep).select("base_url", "position", url.alias("url"), F.regexp_replace(scalars.url_path(url), r"^/+", "").alias("key"), F.col("href").endswith("/").alias("is_directory"))
+    return rows.where(keep).select(*rest, "position", url.alias("url"), F.regexp_replace(scalars.url_path(url), r"^/+", "").alias("key"), F.col("href").endswith("/").alias("is_directory"))
 
 
 def crawl(edges: DataFrame, roots: DataFrame, max_depth: int = 15) -> DataFrame:
@@ -100,6 +104,55 @@ def crawl(edges: DataFrame, roots: DataFrame, max_depth: int = 15) -> DataFrame:
     return seen
 
 
+def listed(bodies: DataFrame) -> DataFrame:
+    """Files of listings of any kind (base_url, body, container_type): S3 and GCS, Azure, or links of a page; the kind decides how a body is read."""
+    of = lambda *kinds: bodies.where(F.col("container_type").isin(*kinds)).drop("container_type")
+    s3, azure = ("AWS S3", "Google Cloud Storage"), ("Azure Blob Storage",)
+    pages = bodies.where(~F.coalesce("container_type", F.lit("")).isin(*s3, *azure)).select("base_url", F.col("body").alias("html"))
+    return s3_files(of(*s3)).unionByName(azure_files(of(*azure))).unionByName(linked_files(pages))
+
+
+def linked_files(pages: DataFrame) -> DataFrame:
+    """Files among the links of pages (base_url, html); a page tells neither size nor time."""
+    found = links(pages).where(~F.col("is_directory"))
+    none = {"size_bytes": F.lit(0).cast("long"), "last_modified": F.lit(""), "etag": F.lit(""), "ordinal": F.col("position").cast("long")}
+    return found.withColumns(none).select("base_url", "url", "key", "size_bytes", "last_modified", "etag", "ordinal").withColumn("file_type", scalars.file_type(F.col("url")))
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """base_url, html, error of each url; ``fetch`` runs where the rows are, and a page that cannot be had is an error, not the end."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                try:
+                    rows.append((url, fetch(url), None))
+                except (OSError, ValueError) as e:
+                    rows.append((url, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["base_url", "html", "error"])
+
+    return urls.select("url").mapInPandas(run, "base_url string, html string, error string")
+
+
+def crawl_pages(roots: DataFrame, fetch: Callable[[str], str], max_depth: int = 15) -> DataFrame:
+    """base_url, url, key, ..., depth of the files that link pages lead to from roots (url), directory by directory; each is fetched once.
+
+    A level is one fetch of its pages, stored, and one anti-join with what was visited.
+    """
+    seen = frontier = checkpointed(roots.select("url").distinct())
+    found = None
+    for depth in range(max_depth + 1):
+        pages = checkpointed(fetched(frontier, fetch)).where(F.col("html").isNotNull()).select("base_url", "html")
+        files = linked_files(pages).withColumn("depth", F.lit(depth))
+        found = files if found is None else found.unionByName(files)
+        frontier = checkpointed(links(pages).where("is_directory").select("url").distinct().join(seen, "url", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return found.dropDuplicates(["url"])
+
+
 def read_bodies(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """base_url, body of stored listing or page bodies, a file each."""
     return spark.read.text(path, wholetext=True).select(F.lit(base_url).alias("base_url"), F.col("value").alias("body"))

@@ -122,6 +122,46 @@ class Refused:
         raise ai.AuthenticationError("no")
 
 
+def test_questions():
+    asked = []
+
+    class Recorder:
+        def complete(self, prompt, max_tokens=1500):
+            asked.append((prompt, max_tokens))
+            return ai.Reply('{"score": 12, "explanation": "odd"}', "r", "1")
+
+    one = Recorder()
+    assert ai.summarised(one, "x" * 20_000).ok and ai.analysed(one, "f", "Other", "y" * 9000).ok
+    assert ai.anomaly_rated(one, "f", ["t"] * 30, ["r"] * 30) == (10.0, "odd") and ai.anomaly_rated(ai.Heuristic(), "f", [], []) == (None, "")
+    assert [m for _, m in asked] == [1500, 800, 200] and asked[0][0].count("x") <= 10_010 and asked[1][0].count("y") <= 4100 and asked[2][0].count('"t"') == 10
+
+
+def test_chain_by_name(monkeypatch):
+    monkeypatch.setattr(ai, "MAKERS", {"echo": lambda key, options: Echo(), "bad": lambda key, options: 1 / 0})
+    assert ai.chain_for(None).complete("x").provider == "heuristic" == ai.chain_for("bad", "k").complete("x").provider
+    assert ai.chain_for("ECHO", "k").complete("x").provider == "echo" == ai.chain_for("echo", needs_key=False).complete("x").provider
+    with pytest.raises(ai.AuthenticationError):
+        ai.chain_for("echo")
+    with pytest.raises(ValueError):
+        ai.chain_for("other", "k")
+
+
+def test_keys_and_clocks(spark):
+    rows = [("openai", "sk-" + "a" * 20, True), ("openai", "sk-a", False), ("claude", "sk-ant-" + "b" * 40, True), ("gemini", None, False), ("ollama", "", True), ("ollama", None, True)]
+    got = spark.createDataFrame(rows, "p string, k string, ok boolean").withColumn("got", scalars.key_format_ok(F.col("p"), F.col("k"))).collect()
+    assert all(r.ok == r.got for r in got)
+    assert spark.sql("SELECT timestamp'2024-01-01 00:00:00' a, timestamp'2024-01-01 00:01:01.239' b").select(scalars.elapsed(F.col("a"), F.col("b"))).first()[0] == 61.24
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_positions(spark, n):
+    rows = [(["Low", "Critical", "High"][i % 3], i * 7 % 101, f"r{i % 4}") for i in range(n)]
+    held = spark.createDataFrame(rows, "severity string, seq int, rule_name string").repartition(5)
+    got = [tuple(r) for r in score.positioned(held).orderBy("position").collect()]
+    order = {"Critical": 0, "High": 1, "Low": 2}
+    assert [r[3] for r in got] == list(range(1, n + 1)) and [r[:3] for r in got] == sorted(rows, key=lambda r: (order[r[0]], r[1], r[2]))
+
+
 def test_chain():
     assert ai.Chain([Broken(), Echo()]).complete("x").provider == "echo"
     assert ai.Chain([Broken()]).complete("x") == ai.Reply("", "heuristic", "builtin")
@@ -129,7 +169,7 @@ def test_chain():
         ai.Chain([Refused(), Echo()]).complete("x")
 
 
-@pytest.mark.parametrize("bad", [{"url": "ftp://x"}, {"url": "https://x", "owned": False}, {"url": "https://x", "min_severity": "Odd"}, {"url": "https://x", "max_file_bytes": 0}])
+@pytest.mark.parametrize("bad", [{"url": "ftp://x"}, {"url": "https://x", "owned": False}, {"url": "https://x", "min_severity": "Odd"}, {"url": "https://x", "max_file_bytes": 0}, {"url": "https://x", "organisation": ""}, {"url": "https://x", "concurrency": 0}, {"url": "https://x", "timeout": 0}])
 def test_config(bad):
     with pytest.raises(ValueError):
         Config(**bad)
@@ -150,7 +190,7 @@ def test_whole_scan(spark, tmp_path):
     found = result.findings.collect()
     assert {r.rule_name for r in found} == {"PUBLIC_BUCKET_ACCESS", "SENSITIVE_FILE_EXPOSED:\\.env", "AWS_ACCESS_KEY", "EMAIL_ADDRESS", "IMAGE_GPS_COORDINATES", "IMAGE_DEVICE_INFO", "IMAGE_AUTHOR_INFO", "AI_SEEN", "DUPLICATE_SECRET:AWS_ACCESS_KEY"}
     assert [r.archive_path for r in found if r.from_archive] == ["in.py"]
-    assert result.counters.first().asDict() == {"total_files": 5, "scanned_files": 2, "skipped_files": 0, "archive_files": 2}
+    assert result.counters.first().asDict() == {"total_files": 5, "scanned_files": 2, "skipped_files": 0, "archive_files": 1, "errors": 1}
     assert [r.file_url for r in result.errors.collect()] == [base + "d.zip"]
     risk = result.risk.first().risk_score
     assert 8.5 <= risk <= 10

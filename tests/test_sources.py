@@ -6,7 +6,7 @@ import io
 import struct
 import tarfile
 import zipfile
-from urllib.parse import urljoin
+from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pytest
 from hypothesis import given, settings
@@ -142,6 +142,75 @@ def test_listing_source(spark, monkeypatch):
     assert [r[1] for p in reader.partitions() for r in reader.read(p)] == ["app/.env", "x.js", "y", "logs/l"]
 
 
+def test_azure_listing_source(monkeypatch):
+    """Level by level to partitions, page by page within one; a marker leads to the next page."""
+    blob = lambda k: f"<Blob><Name>{k}</Name><Properties><Content-Length>3</Content-Length><Last-Modified>x</Last-Modified></Properties></Blob>"
+    page = lambda blobs, subs=(), marker="": f"<EnumerationResults><Blobs>{''.join(map(blob, blobs))}{''.join(f'<BlobPrefix><Name>{s}</Name></BlobPrefix>' for s in subs)}</Blobs><NextMarker>{marker}</NextMarker></EnumerationResults>"
+    tree = ["a.txt", "b.txt", "d/c.txt", "d/e/f.txt", "g/h.txt", "g/i/", "g/j.txt"]
+    asked = []
+
+    def fetch(url):
+        q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+        assert q["restype"] == "container" and q["comp"] == "list"
+        asked.append(q)
+        prefix = q.get("prefix", "")
+        found = [k for k in tree if k.startswith(prefix)]
+        if "delimiter" in q:
+            subs = sorted({prefix + k[len(prefix) :].partition("/")[0] + "/" for k in found if "/" in k[len(prefix) :]})
+            found = [k for k in found if "/" not in k[len(prefix) :]]
+        else:
+            subs = []
+        at = int(q.get("marker", 0))
+        return page(found[at : at + 1], subs if not at else [], str(at + 1) if at + 1 < len(found) else "")
+
+    monkeypatch.setattr(datasource, "fetch", fetch)
+    for split in (1, 2, 16):
+        reader = datasource.ObjectListing({"url": "https://acct.blob.core.windows.net/c", "split": str(split)}).reader(None)
+        parts = reader.partitions()
+        assert len(parts) >= min(split, 3)
+        assert sorted(r[1] for p in parts for r in reader.read(p)) == sorted(k for k in tree if not k.endswith("/"))
+    assert any("marker" in q for q in asked)
+    with pytest.raises(ValueError):
+        datasource.listing_of("https://h", "ftp")
+
+
+def test_listings_by_kind(spark):
+    from quaymark.plans.queries import AZURE_BODY, S3_BODY
+
+    rows = [("https://b/", S3_BODY, "AWS S3"), ("https://a/cont", AZURE_BODY, "Azure Blob Storage"), ("https://h/", '<a href="k.env">k</a><a href="sub/">s</a>', "Open Directory Listing"), ("https://n/", None, None)]
+    got = listings.listed(spark.createDataFrame(rows, "base_url string, body string, container_type string")).collect()
+    assert {(r.base_url, r.key, r.file_type) for r in got} == {("https://b/", "app/.env", "Environment"), ("https://b/", "x.js", "JavaScript"), ("https://a/cont", "k.sql", "SQL / Database Dump"), ("https://h/", "k.env", "Environment")}
+
+
+def test_links_of_equal_pages(spark):
+    """Pages with one address keep their own links, and their other columns."""
+    rows = [(1, "https://h/", '<a href="a">a</a>'), (2, "https://h/", '<a href="b">b</a>')]
+    assert {(r.page_id, r.key) for r in listings.links(spark.createDataFrame(rows, "page_id int, base_url string, html string")).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_crawl_of_pages(spark):
+    site = {"https://h/": '<a href="a.txt">a</a><a href="s/">s</a><a href="broken/">b</a>', "https://h/s/": '<a href="b.env">b</a><a href="../">up</a><a href="/">root</a><a href="t/">t</a>', "https://h/s/t/": '<a href="c.py">c</a>'}
+
+    def fetch(url):
+        if url not in site:
+            raise OSError("404")
+        return site[url]
+
+    roots = spark.createDataFrame([("https://h/",)], "url string")
+    assert {(r.url, r.depth) for r in listings.crawl_pages(roots, fetch).collect()} == {("https://h/a.txt", 0), ("https://h/s/b.env", 1), ("https://h/s/t/c.py", 2)}
+    assert {r.url for r in listings.crawl_pages(roots, fetch, 0).collect()} == {"https://h/a.txt"}
+    assert [r.error for r in listings.fetched(spark.createDataFrame([("https://h/broken/",)], "url string"), fetch).collect()] == ["OSError: 404"]
+
+
+def test_archives_with_odd_names(spark):
+    """An archive's own address may hold what parts members from archives; its other columns reach its members."""
+    rows = [("https://h/a!/b.zip", 7, zipped({"x.py": b"mail a@example.org"})), ("https://h/c.zip", 8, b"broken"), ("https://h/d.gz", 9, gzip.compress(b"t"))]
+    objects = spark.createDataFrame(rows, "file_url string, ordinal long, content binary")
+    got = archives.texts(archives.unpacked(objects)).collect()
+    assert {(r.file_url, r.ordinal) for r in got} == {("https://h/a!/b.zip!/x.py", 7), ("https://h/d.gz!/d", 9)}
+    assert [(r.file_url, r.ordinal) for r in archives.unreadable(objects).collect()] == [("https://h/c.zip", 8)]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff")
     (tmp_path / "b.txt").write_bytes(b"x" * 100)
