@@ -151,7 +151,8 @@ def key_format_ok(provider: Column, key: Column) -> Column:
 
 def elapsed(start: Column, end: Column) -> Column:
     """Seconds between two timestamps, to two places."""
-    return F.round(F.unix_micros(end) / 1e6 - F.unix_micros(start) / 1e6, 2)
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return F.round((micros(end) - micros(start)) / 1e6, 2)
 
 
 def risk_band(score: Column) -> Column:

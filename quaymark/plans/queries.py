@@ -195,6 +195,21 @@ def version_compare(spark, sf_dir):
     return spark.createDataFrame([v[:2] for v in VERSIONS], "a string, b string").select("a", "b", scalars.version_compare(F.col("a"), F.col("b")).cast("long").alias("c"))
 
 
+KEYS = [("openai", "sk-" + "a" * 20, True), ("openai", "sk-a", False), ("claude", "sk-ant-" + "b" * 40, True), ("gemini", "AIz", False), ("ollama", "", True)]
+
+
+@query(f"SELECT * FROM {_values(KEYS, 'provider, key, ok')}")
+def key_formats(spark, sf_dir):
+    return spark.createDataFrame(KEYS, "provider string, key string, ok boolean").select("provider", "key", scalars.key_format_ok(F.col("provider"), F.col("key")).alias("ok"))
+
+
+@query("SELECT event_id, round((epoch_us(ts) - epoch_us(min(ts) OVER ())) / 1e6, 2) AS seconds FROM events")
+def elapsed_times(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", "ts")
+    first = F.broadcast(rows.agg(F.min("ts").alias("first_")))  # one row
+    return rows.join(first, F.lit(True)).select("event_id", scalars.elapsed(F.col("first_"), F.col("ts")).alias("seconds"))
+
+
 BANDS = [(0, 0, 0, 1.9, "LOW", "green"), (0, 0, 4, 4.0, "MODERATE", "amber"), (0, 1, 0, 6.99, "MODERATE", "amber"), (0, 3, 0, 7.0, "HIGH", "red"), (1, 0, 0, 9.5, "CRITICAL", "red")]
 
 
@@ -569,6 +584,75 @@ def archive_members(spark, sf_dir):
     return archives.texts(archives.unpacked(objects)).select("file_url", "file_type", "archive_path", F.sha2("content", 256).alias("sha256"))
 
 
+def _packed_objects() -> list[tuple[str, bytes]]:
+    """Archives of each kind; a path that leads out, a binary member and one that is no archive."""
+    import bz2
+    import gzip
+    import io
+    import tarfile
+
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w:gz") as t:
+        for name, data in (("app/.env", b"K=1"), ("./run.sh", b"echo \xff"), ("/etc/x.txt", b"no"), ("n.py", b"\0" * 40)):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return [("https://h/a.tar.gz", held.getvalue()), ("https://h/d/dump.sql.gz", gzip.compress(b"select 1")), ("https://h/b.bz2", bz2.compress(b"z")), ("https://h/c.zip", _zipped("in.json", "{}")), ("https://h/e.zip", b"no zip"), ("https://h/f.7z", b"7z")]
+
+
+UNPACKED = [("https://h/a.tar.gz!/app/.env", "Environment", "K=1"), ("https://h/a.tar.gz!/run.sh", "Shell Script", "echo �"), ("https://h/d/dump.sql.gz!/dump.sql", "SQL / Database Dump", "select 1"), ("https://h/b.bz2!/b", "Other", "z"), ("https://h/c.zip!/in.json", "JSON", "{}")]
+
+
+@query(f"SELECT * FROM {_values(UNPACKED, 'file_url, file_type, content')}")
+def archive_formats(spark, sf_dir):
+    objects = spark.createDataFrame(_packed_objects(), "file_url string, content binary")
+    return archives.texts(archives.unpacked(objects)).select("file_url", "file_type", "content")
+
+
+@query("SELECT * FROM (VALUES ('https://h/e.zip'), ('https://h/f.7z')) AS t(file_url)")
+def archive_errors(spark, sf_dir):
+    return archives.unreadable(spark.createDataFrame(_packed_objects(), "file_url string, content binary")).select("file_url")
+
+
+def _tiff(maker: bytes) -> bytes:
+    """A TIFF block with the maker of a camera alone."""
+    import struct
+
+    return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<HHHIII", 1, 0x010F, 2, len(maker) + 1, 26, 0) + maker + b"\0"
+
+
+@query("SELECT 'https://h/a.tiff' AS file_url, 'IMAGE_DEVICE_INFO' AS rule_name, 'Make=Maker 1' AS match")
+def exif_tags(spark, sf_dir):
+    from quaymark.sources import images
+
+    rows = spark.createDataFrame([("https://h/a.tiff", _tiff(b"Maker 1")), ("https://h/b.tiff", b"II*"), ("https://h/c.png", b"")], "file_url string, content binary")
+    return exif.findings(images.read(rows)).select("file_url", "rule_name", "match")
+
+
+LISTED = [("https://b/", S3_BODY, "AWS S3"), ("https://a/cont", AZURE_BODY, "Azure Blob Storage"), ("https://h/i/", '<a href="k.env">k</a><a href="sub/">s</a><a href="https://o/x">o</a>', "Open Directory Listing"), ("https://n/", "", "Unknown")]
+
+
+@query("SELECT * FROM (VALUES ('https://b/', 'https://b/app/.env', 'Environment'), ('https://b/', 'https://b/x.js', 'JavaScript'), ('https://a/cont', 'https://a/cont/k.sql', 'SQL / Database Dump'), ('https://h/i/', 'https://h/i/k.env', 'Environment')) AS t(base_url, url, file_type)")
+def listings_by_kind(spark, sf_dir):
+    rows = spark.createDataFrame(LISTED, "base_url string, body string, container_type string")
+    return listings.listed(rows).select("base_url", "url", "file_type")
+
+
+SITE = {"https://h/": '<a href="a.txt">a</a><a href="s/">s</a><a href="gone/">g</a>', "https://h/s/": '<a href="b.env">b</a><a href="/">root</a><a href="t/">t</a>', "https://h/s/t/": '<a href="c.py">c</a>'}
+
+
+def _page(url: str) -> str:
+    if url not in SITE:
+        raise OSError("404")
+    return SITE[url]
+
+
+@query("SELECT url, depth::BIGINT AS depth FROM (VALUES ('https://h/a.txt', 0), ('https://h/s/b.env', 1), ('https://h/s/t/c.py', 2)) AS t(url, depth)")
+def crawl_fetched(spark, sf_dir):
+    """A crawl that fetches its pages, here from a table."""
+    return listings.crawl_pages(spark.createDataFrame([("https://h/",)], "url string"), _page).select("url", F.col("depth").cast("long").alias("depth"))
+
+
 # Whole scans
 
 
@@ -665,10 +749,24 @@ def exif_findings(spark, sf_dir):
 # Reports
 
 
-@query(f"WITH {FINDINGS_SQL} SELECT ordinal, rule_name, replace('#### `' || regexp_extract(url, '([^/]*)$', 1) || '` — ' || rule_name, chr(10), '') AS title FROM findings")
+TITLE_SQL = f"regexp_extract(url, '([^/]*)$', 1)"
+
+
+def _escaped_sql(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = f"replace({x}, {_quoted(raw)}, '{safe}')"
+    return x
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT ordinal, rule_name, '#### `' || {TITLE_SQL} || '` — ' || rule_name || chr(10) || chr(10) || '- **Category:** ' || category || chr(10) || '- **Description:** ' || description || chr(10) || '- **Confidence:** ' || printf('%.0f', confidence * 100) || '%  |  **Line:** ' || line_number
+  || chr(10) || '- **Compliance:** ' || CASE WHEN len(refs) > 0 THEN array_to_string(refs, ', ') ELSE 'N/A' END || chr(10) || '- **Remediation:** ' || recommendation || chr(10) AS block FROM findings""")
 def report_markdown_lines(spark, sf_dir):
-    rows = report.markdown_lines(findings(spark, sf_dir))
-    return rows.select(F.col("seq.file").alias("ordinal"), "rule_name", F.substring_index("block", "\n", 1).alias("title"))
+    return report.markdown_lines(findings(spark, sf_dir)).select(F.col("seq.file").alias("ordinal"), "rule_name", "block")
+
+
+@query(f"""WITH {_inline_sql(FINDINGS_SQL)} SELECT ordinal, rule_name, '<div class="f"><h4>' || {_escaped_sql(TITLE_SQL)} || ' — ' || {_escaped_sql('rule_name')} || '</h4><p>' || {_escaped_sql('description')} || '</p><pre></pre></div>' AS block FROM findings""")
+def report_html_lines(spark, sf_dir):
+    return report.html_lines(_inline_findings(spark)).select(F.col("seq.file").alias("ordinal"), "rule_name", "block")
 
 
 JSON_SQL = ", ".join(
