@@ -4,8 +4,8 @@ Every document has a 48-bit hash of its doc_id and text. A source's budget is me
 the source's threshold, so a larger budget takes a superset. The threshold is found without sorting: sizes are summed by
 source and leading hash bits, the running sum tells the bucket in which the budget ends, and only the documents of that
 bucket are summed again by their next bits, until a bucket is one hash value, the edge. The words that the document at the
-edge would exceed are given, in the same way, to documents behind it that are small enough, in ROUNDS rounds. The last round's
-edge document is in if that comes nearer to the target. Where much is still missing then (all small documents are in
+edge would exceed are given, in the same way, to documents behind it that are small enough, in ROUNDS rounds at most; a source
+has another one while more than MISSING of its target is missing. The last round's edge document is in if that comes nearer to the target. Where much is still missing then (all small documents are in
 already), that document is taken and small ones, found by a threshold in the same way, are left out for what it exceeds, if
 that comes nearer. What is kept then is a filter.
 
@@ -30,7 +30,7 @@ from quaymark.llm.shared import discard, packed, written
 BITS, SHIFTS = 48, (36, 24, 0)
 #: Thresholds per source: what the first one leaves of a budget is filled with later documents that are small enough.
 ROUNDS = 4
-#: Share of a target that may be missing without a look at documents to leave out.
+#: Share of a target that may be missing without another round, or a look at documents to leave out.
 MISSING = 0.001
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,6 +80,10 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
     out = written(goals.withColumn("times", times).withColumns({"left0": left, "from0": F.lit(0).cast("long"), "rest": left, "edge": none, "edge_size": none}), "goals")
     for k in range(ROUNDS):
         state = out.select("source", F.col(f"left{k}").alias("left"), F.col(f"from{k}").alias("from")).where(F.col("left").isNotNull())
+        if state.isEmpty():
+            nothing = {f"{n}{i}": none for i in range(k, ROUNDS) for n in ("left", "from", "below")}
+            out = out.withColumns(nothing)
+            break
         small = F.lit(True) if k == 0 else F.col("size") <= F.col("left")
         found = _edge(_of(slim, state, (F.col("hash") >= F.col("from")) & small), state)
         joined = out.join(found.select(F.col("source").alias("s_"), F.col("hash").alias("hash_"), F.col("size").alias("size_"), F.col("rest").alias("rest_")), out["source"].eqNullSafe(F.col("s_")), "left")
@@ -87,7 +91,7 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
         below = F.when(F.col("hash_").isNotNull(), F.col("hash_")).when(F.col(f"left{k}").isNotNull(), F.lit(1 << BITS)).otherwise(F.lit(0)).alias(f"below{k}")
         later = [F.coalesce("rest_", "rest").alias("rest"), F.coalesce("hash_", "edge").alias("edge"), F.coalesce("size_", "edge_size").alias("edge_size")]
         kept = [c for c in out.columns if c not in ("rest", "edge", "edge_size")]
-        old, out = out, written(joined.select(*kept, below, (F.col("hash_") + 1).alias(f"from{k + 1}"), F.when(F.col("hash_").isNotNull(), F.col("rest_")).alias(f"left{k + 1}"), *later), "thresholds")
+        old, out = out, written(joined.select(*kept, below, (F.col("hash_") + 1).alias(f"from{k + 1}"), F.when(F.col("hash_").isNotNull() & (F.col("rest_") > MISSING * F.col("target")), F.col("rest_")).alias(f"left{k + 1}"), *later), "thresholds")
         discard(found, old)
     return _settled(slim, out)
 
@@ -99,7 +103,10 @@ def _settled(slim: DataFrame, out: DataFrame) -> DataFrame:
     state = out.where(F.col("edge").isNotNull() & (F.least("rest", "over") > MISSING * F.col("target")))
     plain = F.least(F.col("rest"), F.coalesce("over", "rest"))
     named = {"drop_below": F.col("hash"), "drop_edge": F.col("hash"), "drop_size": F.col("size"), "drop_rest": F.col("rest")}
-    found = _edge(_of(slim, state, _inside(F.col("hash"), F.col("size")) & (F.col("size") <= F.col("over")) & (F.col("hash") != F.col("edge"))), state.select("source", F.col("over").alias("left")))
+    if state.isEmpty():
+        found = out.limit(0).select("source", F.col("edge").alias("hash"), F.col("edge_size").alias("size"), "rest")
+    else:
+        found = _edge(_of(slim, state, _inside(F.col("hash"), F.col("size")) & (F.col("size") <= F.col("over")) & (F.col("hash") != F.col("edge"))), state.select("source", F.col("over").alias("left")))
     drops = found.select(F.col("source").alias("s_"), *[c.alias(n) for n, c in named.items()])
     both = out.join(drops, out["source"].eqNullSafe(F.col("s_")), "left")
     edge_too = F.coalesce(2 * F.col("drop_rest") >= F.col("drop_size"), F.lit(False))

@@ -387,6 +387,8 @@ def brute_taken(rows, target):
             if found is None:
                 break
             edge, begin = found, found[0]
+            if rest <= mixing.MISSING * target[s]:
+                break
         if edge is not None:
             over, out = edge[1] - rest, set()
             plain = min(rest, over)
