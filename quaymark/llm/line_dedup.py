@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame, site: str) -> DataFrame:
                 first[1:] = (line[1:] != line[:-1]) | (at[1:] != at[:-1])
                 at = at[first]
                 sites = code.dictionary.take(pa.array(at, mask=at < 0)) if len(code.dictionary) else pa.nulls(len(at), pa.string())
-                yield pa.RecordBatch.from_arrays([sites, pa.array(line[first]), pa.array(key[first]), pa.array(own[first])], names=["site", "line", "doc_id", "text_hash"])
+                yield pa.RecordBatch.from_arrays([sites, _binary(line[first]), pa.array(key[first]), pa.array(own[first])], names=["site", "line", "doc_id", "text_hash"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site"))
     return held.mapInArrow(lean(run), "site string, line binary, doc_id long, text_hash long")

@@ -192,6 +192,22 @@ def test_structured_lines_stay(spark):
         assert sorted(map(tuple, got)) == [(i, x, 0) for i, x, _ in rows]
 
 
+def test_lines_of_any_digest(spark):
+    """Digests with zero bytes, first, last or between, are lines like others."""
+    digest_of = lambda x: hashlib.blake2b(x.encode(), digest_size=16).digest()
+    chosen = [next(x for x in (f"line {i}" for i in range(10**5)) if digest_of(x)[k] == 0) for k in (0, 1, 7, 14, 15)]
+    rows = [(10 * s + k, f"{x}\nown {k} {s}", f"site{s}") for k, x in enumerate(chosen) for s in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert digest_lengths(docs) == {16}
+    for most in (100, 0):
+        got = line_dedup.stripped(docs, min_sites=4, most_sent=most).select("row_.doc_id", "n_removed").collect()
+        assert sorted(map(tuple, got)) == sorted((i, int(i >= 10)) for i, _, _ in rows)
+
+
+def digest_lengths(docs):
+    return {len(r.line) for r in line_dedup.occurrences(docs, "source").select("line").collect()}
+
+
 def test_windows_of_hashes():
     v = K.mix(np.arange(100, dtype=np.uint64))
     for k in (1, 2, 3, 5, 8, 50):
