@@ -23,7 +23,7 @@ table gives no rows; other columns are not read. A word is ``[^\\x20\\x09-\\x0D]
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ FLOORS = (0.5, 0.15, 0.6, 0.8, 0.5)
 P = len(FLOORS)
 #: Bins of the logarithm of a distance, and of a statistic for medians; steps of what is summed.
 BIN, STAT_BIN, UNIT = 0.02, 0.02, 2.0**-20
+#: Groups whose estimates (26 numbers each) are sent to all tasks, so a source of many documents is not dealt to one; those of more groups are joined by a shuffle.
+MOST_SENT = 20_000
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"x{i}{j}" for i, j in PAIRS)]
 
@@ -175,7 +177,7 @@ def _moments() -> list[Column]:
     return [*out, *(whole(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"x{i}{j}") for i, j in PAIRS)]
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _start(points: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """First estimates of the languages: medians and scaled median deviations, from histograms."""
 
     def middle(rows: DataFrame, value: Column) -> DataFrame:
@@ -188,7 +190,7 @@ def _start(points: DataFrame) -> DataFrame:
 
     long = points.select("language", F.posexplode(F.array(*[f"v{i}" for i in range(P)])).alias("i", "v"))
     centre = middle(long, F.col("v"))
-    spread = middle(long.join(centre, ["language", "i"]), F.abs(F.col("v") - F.col("mid")))
+    spread = middle(long.join(sent(centre), ["language", "i"]), F.abs(F.col("v") - F.col("mid")))
     both = centre.join(spread.withColumnRenamed("mid", "dev"), ["language", "i"]).groupBy("language")
     wide = both.agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("i") == i, F.col("dev"))).alias(f"d{i}") for i in range(P)])
     variance = lambda i: F.greatest(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2.0)), F.lit(FLOORS[i] ** 2))
@@ -219,10 +221,12 @@ def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, prior: flo
     vectors = [v.alias(f"v{i}") for i, v in enumerate(vector())]
     points = written(stats.where(~F.col("base_failed")).select(language.alias("language"), key.alias("key"), *vectors), "points")
     groups = written(points.select("language", "key").distinct(), "groups")
-    scale, first = consistency(share), _start(points)
+    few = groups.count() <= MOST_SENT
+    sent = lambda small: F.broadcast(small) if few else small
+    scale, first = consistency(share), _start(points, sent)
     estimate = written(groups.join(first, "language").drop("language"), "estimates")
     for _ in range(steps):
-        bins = written(points.join(estimate, "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("language", "key", "bin").agg(*_moments()), "bins")
+        bins = written(points.join(sent(estimate), "key").withColumn("bin", F.floor(F.log(distance() + 1e-9) / BIN)).groupBy("language", "key", "bin").agg(*_moments()), "bins")
         w = Window.partitionBy("language").orderBy("bin")
         upto = bins.groupBy("language", "bin").agg(F.sum("n").alias("n")).withColumns({"below": F.sum("n").over(w) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("language"))})
         closest = bins.join(upto.where(F.col("below") < F.ceil(share * F.col("all"))).select("language", "bin"), ["language", "bin"])
@@ -236,7 +240,7 @@ def judge(stats: DataFrame, share: float = SHARE, steps: int = STEPS, prior: flo
             break
     discard(points, groups, first)
     own = F.when(~F.col("base_failed"), key)
-    joined = stats.withColumn("key_", own).join(estimate, F.col("key_") == F.col("key"), "left")
+    joined = stats.withColumn("key_", own).join(sent(estimate), F.col("key_") == F.col("key"), "left")
     far = joined.select(*[F.col(c) for c in stats.columns], *vectors, *[c for c in estimate.columns if c != "key"]).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_quantile(1 - tail, P))
     return far.select(*stats.columns, "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
