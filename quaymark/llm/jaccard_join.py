@@ -44,6 +44,8 @@ TOLERANCE = 1e-6
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Rows of two numbers that are sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 200_000
+#: The same for rows with a sketch (320 bytes).
+MOST_SKETCHES = 10_000
 
 _MULTIPLIERS = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDENDS = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(20))
@@ -221,8 +223,8 @@ def _star(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[label[moved]])], names=["a", "b"])
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
+def _sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -261,7 +263,9 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
     edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
     large = inside.where(F.col("n") > BLOCK)
     if large.isEmpty():
-        return written(edges.distinct(), "candidate-edges")
+        out = written(edges.distinct(), "candidate-edges")
+        discard(shared, inside)
+        return out
 
     def near_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,14 +275,16 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
             near[_survivors(both, np.arange(n), n + np.arange(n), least)] = True
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "least", "n")), pa.array(near)], names=["key", "node", "least", "n", "near"])
 
-    pivots = sketches_.join(F.broadcast(large.select(F.col("least").alias("node")).distinct()) if shared.where(F.col("n") > BLOCK).count() <= MOST_SENT else large.select(F.col("least").alias("node")).distinct(), "node", "left_semi")
-    held = large.join(sketches_, "node").join(_sent(pivots.select(F.col("node").alias("least"), F.col("sketch").alias("pivot"))), "least")
+    pivots = sketches_.join(_sent(shared.where(F.col("n") > BLOCK).select(F.col("least").alias("node")).distinct()), "node", "left_semi")
+    held = large.join(sketches_, "node").join(_sent(pivots.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")), MOST_SKETCHES), "least")
     first = written(held.select("key", "node", "least", "n", "sketch", "pivot").mapInArrow(lean(near_least), "key long, node long, least long, n long, near boolean"), "large-buckets")
     edges = edges.unionByName(first.where(F.col("near") & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
     far = first.where(~F.col("near"))
     if not far.isEmpty():
         edges = edges.unionByName(_far_edges(first, far, sketches_, least))
-    return written(edges.distinct(), "candidate-edges")
+    out = written(edges.distinct(), "candidate-edges")
+    discard(shared, inside, first)
+    return out
 
 
 def _far_edges(bucket: DataFrame, far: DataFrame, sketches_: DataFrame, least: list[int]) -> DataFrame:
