@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm import textkernel as K
-from quaymark.llm.shared import discard, lean, pieces_of, tidy, written
+from quaymark.llm.shared import dealt, discard, lean, pieces_of, tidy, written
 
 SHINGLE, WORDS, NEAR, HASHES, SIEVE = 5, 50, 0.8, 3, 2
 #: Bytes of a 5-gram's hash that are sent where cells meet: 512 cells have at most 50,000 of them, and 2**40 values tell them apart.
@@ -506,7 +506,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     wanted = by_text.select("id")
     few = wanted.count() <= MOST_IDS
     chosen = texts.join(F.broadcast(wanted), "id", "left_semi") if few else texts
-    held = written(chosen.join(by_text, "id").select("id", "text", "windows"), "passages")
+    # Texts move once, to buckets of their ids; later steps bring their lists to them.
+    held = dealt(chosen.join(by_text.hint("shuffle_hash"), "id").select("id", "text", "windows"), "id", "passages")
     discard(by_text)
     passages = held.mapInArrow(lean(_each(_passages)), "passage long, id long, start int")
     twice = written(passages.groupBy("passage").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("passage"), "twice")
@@ -526,7 +527,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 def near_passages(held: DataFrame, exact: DataFrame) -> DataFrame:
     """id, start, passage of passages of the texts (id, text, windows) that are near-duplicates of another text's in a common cell, unless they lie inside an exact span."""
     spans = exact.select("id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
-    whole = held.join(spans, "id", "left")
+    whole = held.join(spans.hint("shuffle_hash"), "id", "left")
     cells = written(whole.mapInArrow(lean(_each(_cells)), "key long, run long, id long, lo int, hi int, free boolean"), "cells")
     ends = cells.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("free").cast("int")).alias("open"))
     live = written(ends.where("least != most AND open = 1").select("key"), "live")
@@ -539,7 +540,7 @@ def near_passages(held: DataFrame, exact: DataFrame) -> DataFrame:
     discard(asked)
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     by_text = rows.join(blocks, "key").groupBy("id").agg(F.collect_list(F.struct("key", "blocks", "high", "lo", "hi")).alias("cells"))
-    runs = whole.select("id", "text", "spans").join(by_text, "id").mapInArrow(lean(_each(_runs)), "key long, blocks int, low long, high long, lo int, free binary, grams binary")
+    runs = whole.select("id", "text", "spans").join(by_text.hint("shuffle_hash"), "id").mapInArrow(lean(_each(_runs)), "key long, blocks int, low long, high long, lo int, free binary, grams binary")
     # Cells are dealt to blocks by a hash; every two blocks of a key meet.
     block = F.pmod(F.xxhash64("low", "lo"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))

@@ -38,7 +38,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
+    out.written_at, out.named = path, None
+    return out
+
+
+def dealt(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder that is dealt to buckets by a column, as many as shuffles have partitions.
+
+    Joins and aggregations on that column leave the table's rows where they are and move the other side only. Spark keeps the
+    buckets' description in its catalog, so the table has a name in the current database until it is discarded.
+    """
+    spark = df.sparkSession
+    path = fresh(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    out = spark.table(name)
+    out.written_at, out.named = path, name
     return out
 
 
@@ -49,6 +64,8 @@ def discard(*tables: DataFrame) -> None:
     below ``spark.checkpoint.dir``, as checkpoints are.
     """
     for table in tables:
+        if table.named:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.named}")
         remove(table.sparkSession, table.written_at)
     if tables:
         tidy(tables[0].sparkSession)

@@ -135,6 +135,33 @@ def test_empty(spark):
     assert C.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("sent", ["-1", "10MB"])
+def test_texts_move_once(spark, monkeypatch, sent):
+    """At any size one shuffle deals the texts, and none follows; their table and its name go afterwards."""
+    plans = []
+
+    def kept(write):
+        def run(df, *args):
+            plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+            return write(df, *args)
+
+        return run
+
+    for name in ("written", "dealt"):
+        if hasattr(C, name):
+            monkeypatch.setattr(C, name, kept(getattr(C, name)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    try:
+        docs = spark.createDataFrame([(d, t) for d, t in corpus()], "doc_id long, text string")
+        assert C.repeated(docs).count() > 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [re.findall(r"\) Exchange\nInput \[\d+\]: \[[^]]*\btext#", p) for p in plans]
+    assert sum(map(len, moved)) == 1
+    assert not [t.name for t in spark.catalog.listTables() if "passages" in t.name]
+
+
 @pytest.mark.parametrize("rows", [512, 7])
 def test_alike_is_brute_force(monkeypatch, rows):
     monkeypatch.setattr(C, "ROWS", rows)
